@@ -1,0 +1,9 @@
+"""DuckDB SQL that reproduces the queries, for the correctness check."""
+
+from __future__ import annotations
+
+
+def all_sql() -> dict[str, str]:
+    from oracles import cv_queries
+
+    return {**cv_queries.SQL}

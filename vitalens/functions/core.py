@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Every pattern that uses these starts with the (?U) flag, under which \s and \S
@@ -102,3 +102,17 @@ def round1(x: Column) -> Column:
         * let((F.abs(v) * F.lit(float(1 << bits))).cast("bigint"), scaled)
         / F.lit(10.0),
     )
+
+
+def unnest(df: DataFrame, keys: list[str], array: Column | str, position: str | None = None) -> DataFrame:
+    """One row per struct of an array, with its position if a name for it is given.
+
+    Uses the outer generator and drops empty rows afterwards: for the plain one
+    the optimizer adds a filter on the array's size and pushes it below the
+    projections, which would evaluate the whole array expression again.
+    """
+    out = df.select(*keys, F.posexplode_outer(array).alias("_pos", "_item")).filter(
+        F.col("_pos").isNotNull()
+    )
+    placed = [] if position is None else [F.col("_pos").alias(position)]
+    return out.select(*keys, *placed, "_item.*")

@@ -18,6 +18,7 @@ from vitalens.functions.core import (
     first_of,
     let,
     let_struct,
+    unnest,
     words_array,
 )
 from vitalens.operators import sections as sx
@@ -322,12 +323,8 @@ def contacts_table(docs: DataFrame) -> DataFrame:
 
 
 def bullets_table(docs: DataFrame) -> DataFrame:
-    return parse(docs).select("doc_id", F.inline("bullets"))
+    return unnest(parse(docs), ["doc_id"], "bullets")
 
 
 def date_ranges_table(docs: DataFrame) -> DataFrame:
-    return (
-        parse(docs)
-        .select("doc_id", F.posexplode("ranges"))
-        .select("doc_id", F.col("pos").alias("range_no"), "col.*")
-    )
+    return unnest(parse(docs), ["doc_id"], "ranges", "range_no")

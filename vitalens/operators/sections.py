@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vitalens import lexicon as lx
 from vitalens.functions import text as tx
-from vitalens.functions.core import NOT_WS, WS, YEAR, built_once, first_of, let, let_struct
+from vitalens.functions.core import NOT_WS, WS, YEAR, built_once, first_of, let, let_struct, unnest
 
 BULLET_START = rf"(?U)^[•\-*–—]{WS}"
 SENTENCE_END = r"[.,;]$"
@@ -313,7 +313,7 @@ def lines_table(docs: DataFrame) -> DataFrame:
 
 def match_headings(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, heading, name, style) for every heading-shaped or named line."""
-    return docs.select("doc_id", F.inline(_doc_headings())).drop("after_blank")
+    return unnest(docs, ["doc_id"], _doc_headings()).drop("after_blank")
 
 
 def dominant_styles(docs: DataFrame) -> DataFrame:
@@ -321,9 +321,9 @@ def dominant_styles(docs: DataFrame) -> DataFrame:
 
 
 def sections_table(docs: DataFrame, unnamed_after: str = "nonblank") -> DataFrame:
-    return docs.select("doc_id", F.inline(doc_sections(unnamed_after)))
+    return unnest(docs, ["doc_id"], doc_sections(unnamed_after))
 
 
 def largest_sections(docs: DataFrame) -> DataFrame:
     """One row per (doc_id, name): the largest section of that name."""
-    return docs.select("doc_id", F.inline(_doc_largest_sections())).drop("neg_no")
+    return unnest(docs, ["doc_id"], _doc_largest_sections()).drop("neg_no")

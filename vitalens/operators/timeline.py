@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalens.functions.core import built_once
+from vitalens.functions.core import built_once, unnest
 from vitalens.operators import facts as fx
 
 MIN_GAP_MONTHS = 6
@@ -123,22 +123,18 @@ def _doc_tenure(today: date) -> Column:
 
 
 def spans_table(docs: DataFrame, today: date) -> DataFrame:
-    return fx.parse(docs).select("doc_id", F.inline(doc_spans(today)))
+    return unnest(fx.parse(docs), ["doc_id"], doc_spans(today))
 
 
 def gaps_table(
     docs: DataFrame, today: date, min_months: int = MIN_GAP_MONTHS, legacy_gap_labels: bool = False
 ) -> DataFrame:
     """(doc_id, gap_from, gap_to, months)"""
-    return (
-        fx.parse(docs)
-        .select("doc_id", F.inline(_doc_gaps(today, min_months)))
-        .select(
-            "doc_id",
-            gap_label(F.col("after"), legacy_gap_labels).alias("gap_from"),
-            gap_label(F.col("before"), legacy_gap_labels).alias("gap_to"),
-            "months",
-        )
+    return unnest(fx.parse(docs), ["doc_id"], _doc_gaps(today, min_months)).select(
+        "doc_id",
+        gap_label(F.col("after"), legacy_gap_labels).alias("gap_from"),
+        gap_label(F.col("before"), legacy_gap_labels).alias("gap_to"),
+        "months",
     )
 
 

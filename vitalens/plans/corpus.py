@@ -11,7 +11,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalens.functions.core import built_once, let_struct
+from vitalens.functions.core import built_once, let_struct, unnest
 from vitalens.operators import features as ft
 from vitalens.operators import rules as ru
 from vitalens.operators import scoring as sc
@@ -84,14 +84,14 @@ def score_corpus(
 
 def findings_table(reviews: DataFrame, *keys: str) -> DataFrame:
     """Long findings in report order."""
-    return reviews.select(*keys, F.posexplode("findings")).select(
-        *keys, (F.col("pos") + 1).alias("finding_no"), "col.*"
+    return unnest(reviews, list(keys), "findings", "finding_no").withColumn(
+        "finding_no", F.col("finding_no") + 1
     )
 
 
 def category_table(reviews: DataFrame, *keys: str) -> DataFrame:
-    return reviews.select(*keys, F.inline("category_scores"))
+    return unnest(reviews, list(keys), "category_scores")
 
 
 def priority_table(reviews: DataFrame, *keys: str) -> DataFrame:
-    return reviews.select(*keys, F.inline("priorities"))
+    return unnest(reviews, list(keys), "priorities")
