@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def all_sql() -> dict[str, str]:
-    from oracles import cv_queries
+    from oracles import cv_queries, matching
 
-    return {**cv_queries.SQL}
+    return {**cv_queries.SQL, **matching.SQL}

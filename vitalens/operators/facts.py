@@ -310,11 +310,8 @@ def parse(docs: DataFrame) -> DataFrame:
 
     Each is a narrow expression; what a caller does not select is pruned.
     """
-    return (
-        docs.withColumn("secs", sx.doc_sections())
-        .withColumn("contact", doc_contact())
-        .withColumn("bullets", doc_bullets())
-        .withColumn("ranges", doc_ranges())
+    return docs.withColumn("secs", sx.doc_sections()).withColumns(
+        {"contact": doc_contact(), "bullets": doc_bullets(), "ranges": doc_ranges()}
     )
 
 

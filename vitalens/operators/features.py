@@ -347,20 +347,22 @@ def layout_of(docs: DataFrame) -> Column:
 
 
 @built_once
-def _feature_columns(today: date) -> tuple[tuple[str, Column], ...]:
+def _feature_columns(today: date) -> tuple[dict[str, Column], ...]:
     return (
-        ("flat", tx.flatten_text(F.col("text"))),
-        ("judged", judge(fx.judged_bullets(F.col("bullets")))),
-        ("impact", impact_features(F.col("judged"), F.col("flat"))),
-        ("structure", structure_features(F.col("secs"))),
-        ("timeline", timeline_features(F.col("ranges"), today)),
-        ("format", format_features(F.col("text"))),
+        {
+            "flat": tx.flatten_text(F.col("text")),
+            "judged": judge(fx.judged_bullets(F.col("bullets"))),
+            "structure": structure_features(F.col("secs")),
+            "timeline": timeline_features(F.col("ranges"), today),
+            "format": format_features(F.col("text")),
+        },
+        {"impact": impact_features(F.col("judged"), F.col("flat"))},
     )
 
 
 def profile(docs: DataFrame, today: date) -> DataFrame:
     """docs (doc_id, text[, layout]) with nested facts and features; no shuffle."""
     out = fx.parse(docs.withColumn("layout", layout_of(docs)))
-    for name, column in _feature_columns(today):
-        out = out.withColumn(name, column)
+    for columns in _feature_columns(today):
+        out = out.withColumns(columns)
     return out

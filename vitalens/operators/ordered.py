@@ -76,15 +76,19 @@ def salted_join(
     how: str = "left",
     salts: int = 16,
     hot_rows: int = 100_000,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Join rows to a table unique on ``key`` where some keys own very many rows.
 
     Keys with more than ``hot_rows`` rows are spread over ``salts`` tasks by a
     hash of the ``spread`` columns; only their single matching row is repeated.
-    At most rows/``hot_rows`` keys can be hot, so that list stays small.
+    At most rows/``hot_rows`` keys can be hot, so that list stays small.  Keys are
+    counted in ``counted``, a cheap table with as many rows per key as ``many``
+    (default ``many`` itself).
     """
     hot = (
-        many.filter(F.col(key).isNotNull())
+        (many if counted is None else counted)
+        .filter(F.col(key).isNotNull())
         .groupBy(key)
         .count()
         .filter(F.col("count") > hot_rows)

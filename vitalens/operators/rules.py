@@ -501,28 +501,29 @@ def attribute_sections(findings: Column, secs: Column, judged: Column, has_exper
 
 
 @built_once
-def _finding_columns(cat: Catalogue) -> tuple[tuple[str, Column], ...]:
+def _finding_columns(cat: Catalogue) -> tuple[dict[str, Column], ...]:
     parts = {n: F.col(n) for n in ("contact", "structure", "impact", "layout", "timeline", "format")}
     return (
-        ("raw_findings", let_struct(lambda v: emit(cat, v), **parts)),
-        ("rule_errors", let_struct(lambda v: undecided(cat, v), **parts)),
-        (
-            "findings",
-            attribute_sections(
+        {
+            "raw_findings": let_struct(lambda v: emit(cat, v), **parts),
+            "rule_errors": let_struct(lambda v: undecided(cat, v), **parts),
+        },
+        {
+            "findings": attribute_sections(
                 F.col("raw_findings"),
                 F.col("secs"),
                 F.col("judged"),
                 F.col("structure")["has_experience"],
-            ),
-        ),
+            )
+        },
     )
 
 
 def document_findings(profiled: DataFrame, catalogue: Catalogue | None = None) -> DataFrame:
     """Add ``findings`` (attributed) and ``rule_errors`` to a profiled corpus."""
     out = profiled
-    for name, column in _finding_columns(catalogue or document_catalogue()):
-        out = out.withColumn(name, column)
+    for columns in _finding_columns(catalogue or document_catalogue()):
+        out = out.withColumns(columns)
     return out.drop("raw_findings")
 
 

@@ -149,14 +149,18 @@ def projected(overall_score: Column, prios: Column) -> Column:
 
 
 @built_once
-def _score_columns() -> tuple[tuple[str, Column], ...]:
+def _score_columns() -> tuple[dict[str, Column], ...]:
     return (
-        ("category_scores", category_scores(F.col("findings"), F.col("has_posting"))),
-        ("overall", overall(F.col("category_scores"))),
-        ("band", band(F.col("overall"))),
-        ("findings", ordered_findings(F.col("findings"))),
-        ("priorities", priorities(F.col("findings"))),
-        ("projected_score", projected(F.col("overall"), F.col("priorities"))),
+        {
+            "category_scores": category_scores(F.col("findings"), F.col("has_posting")),
+            "findings": ordered_findings(F.col("findings")),
+            "priorities": priorities(F.col("findings")),
+        },
+        {"overall": overall(F.col("category_scores"))},
+        {
+            "band": band(F.col("overall")),
+            "projected_score": projected(F.col("overall"), F.col("priorities")),
+        },
     )
 
 
@@ -166,8 +170,8 @@ def score(df: DataFrame) -> DataFrame:
     ``has_posting`` says whether the job-match category applies; absent means no.
     """
     out = df if "has_posting" in df.columns else df.withColumn("has_posting", F.lit(False))
-    for name, column in _score_columns():
-        out = out.withColumn(name, column)
+    for columns in _score_columns():
+        out = out.withColumns(columns)
     return out
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from vitalens.functions.core import built_once, let_struct, unnest
 from vitalens.operators import features as ft
+from vitalens.operators import ordered
 from vitalens.operators import rules as ru
 from vitalens.operators import scoring as sc
 from vitalens.operators import sections as sx
@@ -65,18 +66,23 @@ def score_corpus(
     docs: DataFrame,
     today: date,
     matches: DataFrame | None = None,
+    requests: DataFrame | None = None,
     catalogue: ru.Catalogue | None = None,
 ) -> DataFrame:
     """Reviews: one row per document, or per (doc_id, posting_id) when ``matches`` is given.
 
     ``matches`` holds (doc_id, posting_id, coverage, matched, missing); see
-    ``operators.matching.match_report``.  Only compact findings are shuffled to
-    meet it, never text.
+    ``operators.matching.match_report``, and ``requests`` the pairs it was made
+    for.  Only compact findings are shuffled to meet it, never text.
     """
     reviewed = review_documents(docs, today, catalogue)
     if matches is None:
         return sc.score(reviewed)
-    joined = reviewed.join(matches, "doc_id")
+    if requests is None:
+        raise ValueError("matches need the requests they were made for")
+    joined = ordered.salted_join(
+        matches, reviewed, "doc_id", ["posting_id"], how="inner", counted=requests
+    )
     return sc.score(
         joined.withColumn("findings", F.concat("findings", ru.keyword_findings()))
     )

@@ -10,10 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitalens.functions import terms as tm
 from vitalens.functions import text as tx
 from vitalens.functions.core import built_once, round1, unnest
 from vitalens.operators import facts as fx
 from vitalens.operators import features as ft
+from vitalens.operators import matching as mt
 from vitalens.operators import rules as ru
 from vitalens.operators import scoring as sc
 from vitalens.operators import sections as sx
@@ -312,3 +314,105 @@ def _(spark, d):
             )
         ],
     )
+
+
+# --- keyword matching --------------------------------------------------------------------------------
+
+
+def _doc_requests(docs: DataFrame, n_postings: int = 40) -> DataFrame:
+    """Two postings per document, as an applicant would ask for."""
+    ids = F.array(F.col("doc_id") % n_postings, (F.col("doc_id") * 7 + 3) % n_postings)
+    return docs.select("doc_id", F.explode(F.array_distinct(ids)).alias("posting_id"))
+
+
+def _cv_requests(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.col("doc_id").alias("posting_id"))
+
+
+@query("k1_k2_tokens")
+def _(spark, d):
+    lines = sx.lines_table(tb.documents(spark, d))
+    chunks = lines.select("doc_id", "line_no", F.posexplode(tm.chunks_of(F.col("line"))).alias("chunk_no", "tokens"))
+    return chunks.select("doc_id", "line_no", "chunk_no", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query("k3_noise_filter")
+def _(spark, d):
+    docs = tb.documents(spark, d)
+    tokens = docs.select(F.explode(F.flatten(tm.text_chunks(F.col("text")))).alias("token"))
+    counts = tokens.groupBy("token").agg(F.count("*").alias("n"))
+    return counts.filter(~tm.is_noise(F.col("token")))
+
+
+@query("k4_stem")
+def _(spark, d):
+    docs = tb.documents(spark, d)
+    tokens = docs.select(F.explode(F.array_distinct(F.flatten(tm.text_chunks(F.col("text"))))).alias("token"))
+    return tokens.distinct().select("token", tm.stem(F.col("token")).alias("stem"))
+
+
+@query("k5_line_weight")
+def _(spark, d):
+    lines = mt.candidate_lines(tb.cv_postings(spark, d))
+    return lines.select("posting_id", "line_no", F.col("line_weight").cast("double").alias("line_weight"))
+
+
+@query("k6_k7_candidate_terms")
+def _(spark, d):
+    both = tb.postings(spark, d).select((-1 - F.col("posting_id")).alias("posting_id"), "text").unionByName(
+        tb.cv_postings(spark, d)
+    )
+    return mt.candidate_terms(both).select("posting_id", "key", "term", F.col("weight").cast("double").alias("weight"))
+
+
+@query("k8_s5_posting_terms")
+def _(spark, d):
+    return mt.posting_terms(tb.postings(spark, d)).select(
+        "posting_id", "rank", "key", "term", F.col("weight").cast("double").alias("weight")
+    )
+
+
+@query("k9_document_forms")
+def _(spark, d):
+    forms = mt.document_forms(tb.documents(spark, d))
+    return forms.groupBy("form").agg(F.count("*").alias("n_docs"))
+
+
+@query("k10_j3_term_match")
+def _(spark, d):
+    docs = tb.cv_docs(spark, d)
+    terms = mt.posting_terms(tb.cv_postings(spark, d))
+    long = mt.term_table(mt.match_terms(docs, terms, _cv_requests(docs)))
+    return long.select(
+        "doc_id", "posting_id", "rank", "term", F.col("weight").cast("double").alias("weight"),
+        "in_doc", joined("variants").alias("variants"),
+    )
+
+
+@query("k11_coverage")
+def _(spark, d):
+    docs = tb.documents(spark, d)
+    report = mt.match_report(docs, tb.postings(spark, d), _doc_requests(docs))
+    return report.select(
+        "doc_id", "posting_id", "coverage", "matched_count", "total_count",
+        joined(F.transform(F.slice("missing", 1, 8), lambda t: t["term"])).alias("top_missing"),
+    )
+
+
+def _matched_reviews(spark, d) -> DataFrame:
+    docs = tb.cv_docs(spark, d)
+    requests = _cv_requests(docs)
+    matches = mt.match_report(docs, tb.cv_postings(spark, d), requests)
+    return corpus.score_corpus(docs, tb.TODAY, matches, requests)
+
+
+@query("rules_keywords")
+def _(spark, d):
+    return corpus.findings_table(_matched_reviews(spark, d), "doc_id", "posting_id").filter(
+        F.col("category") == "keywords"
+    ).select("doc_id", "rule_id", "severity", "penalty", joined("evidence").alias("evidence"), "section")
+
+
+@query("ag2_overall_with_posting")
+def _(spark, d):
+    return _matched_reviews(spark, d).select("doc_id", "posting_id", "overall", "band", "projected_score")
