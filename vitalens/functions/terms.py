@@ -55,12 +55,6 @@ def pairs_of(tokens: Column) -> Column:
     )
 
 
-def _undouble(stem: Column) -> Column:
-    return F.when(
-        F.length(stem) > 2, F.regexp_replace(stem, r"([^lsz])\1$", "$1")
-    ).otherwise(stem)
-
-
 def stem(token: Column) -> Column:
     """Collapse inflections so mentor, mentored and mentoring share a form."""
     n = F.length(token)
@@ -68,16 +62,32 @@ def stem(token: Column) -> Column:
     def cut(chars: int) -> Column:
         return F.substr(token, F.lit(1), n - chars)
 
+    def undoubled(base: Column) -> Column:
+        return F.when(
+            F.length(base) > 2, F.regexp_replace(base, r"([^lsz])\1$", "$1")
+        ).otherwise(base)
+
     suffixed = (
-        F.when(token.endswith("ies") & (n > 4), F.concat(cut(3), F.lit("y")))
-        .when(token.endswith("ing") & (n > 5), _undouble(cut(3)))
-        .when(token.endswith("ed") & (n > 4), _undouble(cut(2)))
-        .when(token.rlike("[sxzhio]es$") & (n > 4), cut(2))
-        .when(token.endswith("s") & ~token.endswith("ss") & (n > 3), cut(1))
+        F.when(
+            token.endswith("s"),
+            F.when(token.endswith("ies") & (n > 4), F.concat(cut(3), F.lit("y")))
+            .when(token.rlike("[sxzhio]es$") & (n > 4), cut(2))
+            .when(~token.endswith("ss"), cut(1))
+            .otherwise(token),
+        )
+        .when(token.endswith("ing") & (n > 5), undoubled(cut(3)))
+        .when(token.endswith("ed") & (n > 4), undoubled(cut(2)))
         .otherwise(token)
     )
-    kept = token.isin(*lx.PROTECTED_TOKENS) | (n <= 3) | ~token.rlike("^[a-z]+$")
-    return F.when(kept, token).otherwise(F.regexp_replace(suffixed, "^(.{3,})e$", "$1"))
+    kept = (n <= 3) | token.isin(*lx.PROTECTED_TOKENS) | token.rlike("[^a-z]")
+    return F.when(kept, token).otherwise(
+        let(
+            suffixed,
+            lambda x: F.when(
+                x.endswith("e") & (F.length(x) > 3), F.substr(x, F.lit(1), F.length(x) - 1)
+            ).otherwise(x),
+        )
+    )
 
 
 def term_key(term: Column) -> Column:

@@ -12,6 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def micros(df: DataFrame, ts: str) -> Column:
+    """Microseconds of a timestamp column, with or without time zone."""
+    if dict(df.dtypes)[ts] == "timestamp":
+        return F.unix_micros(ts)
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts))
+
+
 def with_prior(
     df: DataFrame,
     keys: list[str],
@@ -35,7 +42,7 @@ def with_prior(
     )
     part = Window.partitionBy(*keys, "_bucket")
     if strict:
-        inside = part.orderBy(F.unix_micros(ts)).rangeBetween(Window.unboundedPreceding, -1)
+        inside = part.orderBy(micros(df, ts)).rangeBetween(Window.unboundedPreceding, -1)
     else:
         inside = part.orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_inside", F.max("_candidate").over(inside))

@@ -7,20 +7,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vitalens import lexicon as lx
 from vitalens.functions import terms as tm
 from vitalens.functions import text as tx
 from vitalens.functions.core import built_once, round1, unnest
 from vitalens.operators import facts as fx
 from vitalens.operators import features as ft
+from vitalens.operators import history as hs
 from vitalens.operators import matching as mt
 from vitalens.operators import rules as ru
 from vitalens.operators import scoring as sc
 from vitalens.operators import sections as sx
 from vitalens.operators import timeline as tl
 from vitalens.plans import corpus
+from vitalens.sources import ingest
 from vitalens.sources import tables as tb
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,14 +55,14 @@ def _(spark, d):
 
 @query("x2_heading_match")
 def _(spark, d):
-    hs = sx.match_headings(tb.cv_docs(spark, d))
-    return hs.filter(F.col("name").isNotNull()).select("doc_id", "line_no", "heading", "name")
+    heads = sx.match_headings(tb.cv_docs(spark, d))
+    return heads.filter(F.col("name").isNotNull()).select("doc_id", "line_no", "heading", "name")
 
 
 @query("x3_heading_style")
 def _(spark, d):
-    hs = sx.match_headings(tb.cv_docs(spark, d))
-    return hs.filter(F.col("style").isNotNull()).select("doc_id", "line_no", "style")
+    heads = sx.match_headings(tb.cv_docs(spark, d))
+    return heads.filter(F.col("style").isNotNull()).select("doc_id", "line_no", "style")
 
 
 @query("x4_dominant_style")
@@ -416,3 +419,214 @@ def _(spark, d):
 @query("ag2_overall_with_posting")
 def _(spark, d):
     return _matched_reviews(spark, d).select("doc_id", "posting_id", "overall", "band", "projected_score")
+
+
+# --- stored reviews ------------------------------------------------------------------------------------
+
+
+def _daily_pairs(spark, d) -> DataFrame:
+    """Daily reviews with their automatic baselines."""
+    return hs.baselines(tb.ev_days(spark, d)).filter(F.col("baseline_id").isNotNull())
+
+
+def _daily_scores(spark, d) -> DataFrame:
+    findings = tb.ev_findings(spark, d)
+    days = tb.ev_days(spark, d).select("review_id")
+    names = F.array(*[F.lit(c) for c, _ in lx.CATEGORY_WEIGHTS])
+    applicable = days.select("review_id", F.explode(names).alias("category")).filter(
+        F.col("category") != "keywords"
+    )
+    return sc.score_long_findings(findings, applicable).withColumn("applicable", F.lit(True))
+
+
+def _ordered_findings(spark, d) -> DataFrame:
+    """Daily findings numbered in report order; a review holds at most one finding per rule."""
+    w = Window.partitionBy("review_id").orderBy(
+        sc.severity_rank(F.col("severity")), -F.col("penalty"), "category", "rule_id"
+    )
+    return tb.ev_findings(spark, d).withColumn("finding_no", F.row_number().over(w))
+
+
+@query("ag6_owner_stats")
+def _(spark, d):
+    return hs.owner_stats(tb.ev_reviews(spark, d), tb.ev_docs(spark, d))
+
+
+@query("ag7_review_counts")
+def _(spark, d):
+    return hs.review_counts(tb.ev_reviews(spark, d))
+
+
+@query("j2_decorated_documents")
+def _(spark, d):
+    return hs.decorate(tb.ev_docs(spark, d), tb.ev_reviews(spark, d)).select(
+        "doc_id", "filename", "review_count", "latest_score"
+    )
+
+
+@query("w1_latest_score")
+def _(spark, d):
+    return hs.latest_scores(tb.ev_reviews(spark, d))
+
+
+@query("w2_document_deltas")
+def _(spark, d):
+    return hs.document_deltas(tb.ev_reviews(spark, d)).select("review_id", "doc_id", "delta")
+
+
+@query("w3_owner_deltas")
+def _(spark, d):
+    return hs.owner_deltas(tb.ev_reviews(spark, d))
+
+
+@query("w8_trend")
+def _(spark, d):
+    return hs.trend(tb.ev_reviews(spark, d)).select("owner_id", "review_id", "score", "position")
+
+
+@query("j1_f5_summaries")
+def _(spark, d):
+    reviews = hs.with_filename(tb.ev_reviews(spark, d), tb.ev_docs(spark, d))
+    return hs.summaries(reviews).join(reviews.select("review_id", "filename"), "review_id").drop("created_at")
+
+
+@query("s3_history_page")
+def _(spark, d):
+    page = hs.history(tb.ev_reviews(spark, d), tb.ev_docs(spark, d), owner="7", limit=25, offset=10)
+    return page.select("review_id", "doc_id", "filename", "overall")
+
+
+@query("f1_f3_owner_document")
+def _(spark, d):
+    return hs.of_document(hs.owned(tb.ev_reviews(spark, d), "8"), "8-1").select("review_id", "status", "overall")
+
+
+@query("f2_f4_complete_in_list")
+def _(spark, d):
+    wanted = tb.ev_docs(spark, d).filter(F.col("filename").like("upload-1%"))
+    return hs.of_documents(hs.completed(tb.ev_reviews(spark, d)), wanted).groupBy("doc_id").agg(
+        F.count("*").alias("n")
+    )
+
+
+@query("src7_key_scan")
+def _(spark, d):
+    return tb.ev_reviews(spark, d).filter(F.col("review_id") == 1234).select("review_id", "owner_id", "overall")
+
+
+@query("f10_score_colour")
+def _(spark, d):
+    return tb.ev_reviews(spark, d).select("review_id", hs.score_colour(F.col("overall")).alias("colour"))
+
+
+@query("s4_sorted_history")
+def _(spark, d):
+    top = hs.sort_history(hs.owned(hs.completed(tb.ev_reviews(spark, d)), "3"), "highest")
+    return top.select("review_id", "overall")
+
+
+@query("s7_documents_newest_first")
+def _(spark, d):
+    return hs.documents_newest_first(tb.ev_docs(spark, d), "5").select("doc_id", "filename")
+
+
+@query("src5_quota")
+def _(spark, d):
+    uploads = tb.ev_reviews(spark, d).select(
+        "owner_id", F.col("review_id").alias("doc_id"), "created_at"
+    )
+    return hs.within_quota(uploads).select("owner_id", "doc_id", "accepted")
+
+
+@query("src6_stored_layout")
+def _(spark, d):
+    return ingest.stored_layout(tb.table(spark, d, "events").select("event_id", "props"), "props").select(
+        "event_id", "k", "table_count", "is_scanned"
+    )
+
+
+@query("j5_baselines")
+def _(spark, d):
+    return hs.baselines(tb.ev_reviews(spark, d))
+
+
+@query("j6_explicit_baselines")
+def _(spark, d):
+    reviews = tb.ev_reviews(spark, d)
+    pairs = reviews.select(
+        "review_id",
+        F.when(F.col("review_id") % 5 == 0, F.col("review_id"))
+        .when(F.col("review_id") % 5 == 1, -F.col("review_id"))
+        .otherwise(F.pmod(F.col("review_id") * 3, F.lit(1000)))
+        .alias("baseline_id"),
+    )
+    return hs.check_pairs(pairs, reviews)
+
+
+@query("j7_finding_diff")
+def _(spark, d):
+    return hs.finding_diff(_daily_pairs(spark, d), tb.ev_findings(spark, d))
+
+
+@query("j8_category_deltas")
+def _(spark, d):
+    return hs.category_deltas(_daily_pairs(spark, d), _daily_scores(spark, d))
+
+
+@query("compare_reviews")
+def _(spark, d):
+    out = hs.compare(
+        tb.ev_days(spark, d), _daily_scores(spark, d), tb.ev_findings(spark, d), _daily_pairs(spark, d)
+    )
+    return out.select(
+        "review_id", "baseline_id", "overall_delta", F.size("categories").alias("n_categories"),
+        joined("resolved").alias("resolved"), joined("introduced").alias("introduced"), "still_open",
+    )
+
+
+@query("j9_erasure")
+def _(spark, d):
+    reviews = tb.ev_reviews(spark, d)
+    erased = reviews.select(
+        F.when(F.col("owner_id").endswith("3"), "owner").otherwise("document").alias("kind"),
+        F.when(F.col("owner_id").endswith("3"), F.col("owner_id")).otherwise(F.col("doc_id")).alias("id"),
+    ).filter((F.col("kind") == "owner") | F.col("id").endswith("1-2"))
+    left = hs.erase({"reviews": reviews, "docs": tb.ev_docs(spark, d)}, erased)
+    return left["reviews"].groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("p10_role_fallback")
+def _(spark, d):
+    return hs.with_target_role(tb.ev_reviews(spark, d), tb.owners(spark, d)).select("review_id", "target_role")
+
+
+@query("f6_severity_counts")
+def _(spark, d):
+    return hs.severity_counts(tb.ev_findings(spark, d))
+
+
+@query("ag8_grouped_findings")
+def _(spark, d):
+    names = ["header", "summary", "experience", "education"]
+    order = tb.ev_findings(spark, d).select("review_id").distinct().select(
+        "review_id", F.posexplode(F.array(*[F.lit(n) for n in names])).alias("sec_no", "section")
+    )
+    return hs.grouped_by_section(_ordered_findings(spark, d), order)
+
+
+@query("ag9_findings_digest")
+def _(spark, d):
+    return hs.findings_digest(_ordered_findings(spark, d))
+
+
+@query("f7_f8_layout_cause")
+def _(spark, d):
+    scored = corpus.score_corpus(tb.cv_docs(spark, d), tb.TODAY)
+    findings = corpus.findings_table(scored, "doc_id").withColumnRenamed("doc_id", "review_id")
+    return hs.layout_is_root_cause(findings)
+
+
+@query("f7_applicable_categories")
+def _(spark, d):
+    cats = corpus.category_table(corpus.score_corpus(tb.cv_docs(spark, d), tb.TODAY), "doc_id")
+    return cats.groupBy("category", "applicable").agg(F.count("*").alias("n"), F.sum("finding_count").alias("findings"))
