@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def all_sql() -> dict[str, str]:
-    from oracles import cv_queries, history, matching
+    from oracles import cv_queries, documents, history, matching
 
-    return {**cv_queries.SQL, **matching.SQL, **history.SQL}
+    return {**cv_queries.SQL, **matching.SQL, **history.SQL, **documents.SQL}

@@ -16,7 +16,6 @@ from vitalens.operators import features as ft
 from vitalens.operators import ordered
 from vitalens.operators import rules as ru
 from vitalens.operators import scoring as sc
-from vitalens.operators import sections as sx
 
 
 @built_once
@@ -45,6 +44,14 @@ def snapshot() -> Column:
     )
 
 
+@built_once
+def _section_order() -> Column:
+    """Section names in document order, the header included, unnamed ones not."""
+    return F.array_distinct(
+        F.transform(F.filter("secs", lambda s: s["name"] != "unknown"), lambda s: s["name"])
+    )
+
+
 def review_documents(
     docs: DataFrame, today: date, catalogue: ru.Catalogue | None = None
 ) -> DataFrame:
@@ -58,7 +65,7 @@ def review_documents(
         snapshot().alias("snapshot"),
         F.col("structure")["has_skills"].alias("has_skills"),
         F.col("impact")["verb_hint"].alias("verb_hint"),
-        sx.recognised_names(F.col("secs")).alias("section_order"),
+        _section_order().alias("section_order"),
     )
 
 

@@ -14,10 +14,13 @@ from vitalens import lexicon as lx
 from vitalens.functions import terms as tm
 from vitalens.functions import text as tx
 from vitalens.functions.core import built_once, round1, unnest
+from vitalens.operators import annotate as an
 from vitalens.operators import facts as fx
 from vitalens.operators import features as ft
 from vitalens.operators import history as hs
+from vitalens.operators import layout as ly
 from vitalens.operators import matching as mt
+from vitalens.operators import reports as rp
 from vitalens.operators import rules as ru
 from vitalens.operators import scoring as sc
 from vitalens.operators import sections as sx
@@ -25,6 +28,7 @@ from vitalens.operators import timeline as tl
 from vitalens.plans import corpus
 from vitalens.sources import ingest
 from vitalens.sources import tables as tb
+from vitalens.streaming import throttle as th
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -630,3 +634,189 @@ def _(spark, d):
 def _(spark, d):
     cats = corpus.category_table(corpus.score_corpus(tb.cv_docs(spark, d), tb.TODAY), "doc_id")
     return cats.groupBy("category", "applicable").agg(F.count("*").alias("n"), F.sum("finding_count").alias("findings"))
+
+
+# --- text preparation ------------------------------------------------------------------------------------
+
+
+def _dirty(spark, d, fn) -> DataFrame:
+    return tb.dirty_docs(spark, d).select("doc_id", F.md5(fn(F.col("text"))).alias("body"))
+
+
+@query("p1_nfkc")
+def _(spark, d):
+    return tb.documents(spark, d).select("doc_id", F.md5(tx.nfkc(F.col("text"))).alias("body"))
+
+
+@query("p2_glyph_map")
+def _(spark, d):
+    return _dirty(spark, d, tx.map_glyphs)
+
+
+@query("p3_drop_control")
+def _(spark, d):
+    return _dirty(spark, d, tx.drop_control)
+
+
+@query("p4_bullets")
+def _(spark, d):
+    return _dirty(spark, d, lambda t: tx.tidy_whitespace(tx.normalise_bullets(tx.strip_lines(tx.drop_control(t)))))
+
+
+@query("p2_p5_clean")
+def _(spark, d):
+    return _dirty(spark, d, tx.clean_unnormalised)
+
+
+@query("p6_p7_words_pages")
+def _(spark, d):
+    words = tx.word_count(F.col("text"))
+    return tb.documents(spark, d).select("doc_id", words.alias("words"), tx.page_estimate(words).alias("pages"))
+
+
+@query("p8_flat_text")
+def _(spark, d):
+    return _dirty(spark, d, tx.flatten_text)
+
+
+@query("p9_tidy_input")
+def _(spark, d):
+    lines = sx.lines_table(tb.dirty_docs(spark, d))
+    return lines.select("doc_id", "line_no", tx.tidy_input(F.col("line")).alias("tidy"))
+
+
+@query("p11_truncate")
+def _(spark, d):
+    return tb.documents(spark, d).select("doc_id", F.md5(tx.truncate(F.col("text"), 2000)).alias("body"))
+
+
+@query("p12_lines")
+def _(spark, d):
+    return sx.lines_table(tb.documents(spark, d)).select("doc_id", "line_no", F.length("line").alias("chars"))
+
+
+@query("src3_near_empty")
+def _(spark, d):
+    return tb.documents(spark, d).filter(ingest.near_empty(F.col("text"))).select("doc_id")
+
+
+@query("src1_src4_screen")
+def _(spark, d):
+    return ingest.screen(tb.files(spark, d)).select("path", "extension", "reject_reason")
+
+
+@query("src2_decoding")
+def _(spark, d):
+    t, i = F.col("text"), F.col("doc_id") % 4
+    content = (
+        F.when(i == 0, F.encode(t, "UTF-16LE"))
+        .when(i == 1, F.concat(F.unhex(F.lit("FEFF")), F.encode(t, "UTF-16BE")))
+        .when(i == 2, F.encode(F.concat(t, F.lit("é")), "ISO-8859-1"))
+        .otherwise(F.encode(t, "UTF-8"))
+    )
+    docs = tb.documents(spark, d).withColumn("content", content)
+    named = docs.withColumn("codec", ingest.codec(F.col("content")))
+    return named.select("doc_id", "codec", F.md5(ingest.decode(F.col("content"), F.col("codec"))).alias("body"))
+
+
+@query("src8_fingerprint")
+def _(spark, d):
+    return tb.documents(spark, d).select("doc_id", tx.fingerprint(F.col("text")).alias("text_hash"))
+
+
+@query("src8_repeated_uploads")
+def _(spark, d):
+    return ingest.repeated_uploads(tb.documents(spark, d))
+
+
+@query("fe7_exotic_characters")
+def _(spark, d):
+    out = tb.dirty_docs(spark, d).select("doc_id", ft.exotic_characters(F.col("text")).alias("x"))
+    return out.select("doc_id", F.col("x.n").alias("n"), F.col("x.sample").alias("sample"))
+
+
+@query("fe8_line_stats")
+def _(spark, d):
+    return tb.documents(spark, d).select("doc_id", ft.line_stats(F.col("text")).alias("s")).select("doc_id", "s.*")
+
+
+@query("documents_length_rules")
+def _(spark, d):
+    docs = ingest.clean_documents(tb.documents(spark, d))
+    found = ru.document_findings(ft.profile(docs, tb.TODAY))
+    return (
+        unnest(found, ["doc_id"], "findings")
+        .filter(F.col("rule_id").isin("formatting.too_long", "formatting.too_short", "formatting.thin", "formatting.verbose", "formatting.dense_lines", "formatting.well_sized"))
+        .select("doc_id", "rule_id", "severity", "penalty")
+    )
+
+
+# --- layout ---------------------------------------------------------------------------------------------------
+
+
+@query("x22_two_column_pages")
+def _(spark, d):
+    return ly.two_column_pages(tb.word_boxes(spark, d))
+
+
+@query("x22_multi_column_counts")
+def _(spark, d):
+    return ly.multi_column_counts(tb.word_boxes(spark, d))
+
+
+@query("x23_scanned")
+def _(spark, d):
+    return tb.documents(spark, d).select(
+        "doc_id", ly.is_scanned(F.col("text"), (F.col("doc_id") % 5).cast("int")).alias("scanned")
+    )
+
+
+@query("x24_w7_table_rows")
+def _(spark, d):
+    return ly.table_rows(tb.cells(spark, d))
+
+
+# --- reports and annotation --------------------------------------------------------------------------------------
+
+
+@query("snk2_report")
+def _(spark, d):
+    r = rp.reports(corpus.score_corpus(tb.cv_docs(spark, d), tb.TODAY))
+    return r.select(
+        "doc_id", "filename", "score", "band",
+        joined(F.transform("categories", lambda c: F.concat(c["category"], F.lit(":"), c["score"].cast("string"), F.lit(":"), c["note"]))).alias("categories"),
+        joined(F.transform("priorities", lambda p: p["rule_id"])).alias("priorities"),
+        joined(F.transform("groups", lambda g: F.concat(g["section"], F.lit("="), F.array_join(F.transform(g["findings"], lambda f: f["rule_id"]), ",")))).alias("groups"),
+    )
+
+
+@query("ag10_prompts")
+def _(spark, d):
+    docs = tb.cv_docs(spark, d)
+    out = rp.prompts(corpus.score_corpus(docs, tb.TODAY), docs)
+    return out.select("doc_id", F.md5("prompt").alias("prompt"), F.length("prompt").alias("chars"))
+
+
+def _annotated(spark, d) -> DataFrame:
+    docs = tb.cv_docs(spark, d)
+    return an.annotate(ru.document_findings(ft.profile(docs, tb.TODAY)))
+
+
+@query("an1_evidence_spans")
+def _(spark, d):
+    return an.spans_table(_annotated(spark, d))
+
+
+@query("an2_line_runs")
+def _(spark, d):
+    return an.line_runs(_annotated(spark, d))
+
+
+# --- throttle ----------------------------------------------------------------------------------------------------
+
+
+@query("st1_throttle")
+def _(spark, d):
+    return th.throttle(
+        tb.table(spark, d, "events"), "user_id", "ts", "event_id", limit=2, window=6 * 3600, bucket="day"
+    )

@@ -246,6 +246,25 @@ FROM events
 GROUP BY 1, 2, 3
 """
 
+# Documents with typographic glyphs, bullets, tabs and blank runs mixed in.
+DIRTY_DOCS = r"""
+SELECT doc_id, replace(replace(replace(replace(replace(text,
+    ' the ', chr(10) || chr(10) || '  ●  the '),
+    ' de ', ' – ﬁde​ '),
+    ' und ', chr(9) || 'und   ' || chr(10) || chr(10) || chr(10)),
+    ' of ', ' ’of“ ▪ '),
+    ' el ', chr(13) || chr(10) || '▪' || chr(10) || '· el ★★★') AS text
+FROM documents
+"""
+
+# Files an uploader might send, described without their bytes.
+FILES = r"""
+SELECT 'in/doc-' || CAST(doc_id AS STRING)
+         || split_part('.txt,.MD,.pdf,.docx,.doc,.png,,.txt', ',', CAST(1 + doc_id % 8 AS INT)) AS path,
+       CASE WHEN doc_id % 11 = 0 THEN 0 WHEN doc_id % 13 = 0 THEN 5242881 ELSE n_chars END AS length
+FROM documents
+"""
+
 POSTINGS = "SELECT item_id AS posting_id, text FROM benchmark"
 
 # Requirement lists in posting form, over the vocabulary the career documents use.
@@ -315,6 +334,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def dirty_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, DIRTY_DOCS, ["documents"])
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, FILES, ["documents"])
+
+
 def cv_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Career documents with a ``layout`` struct."""
     from pyspark.sql import functions as F
