@@ -16,6 +16,8 @@ def local_session(cpus: int | str | None = None, app: str = "vitalens") -> Spark
         .appName(app)
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.sql.adaptive.enabled", "true")
+        # Scoring is bound by CPU, not bytes: keep small shuffles spread over the cores.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
@@ -38,3 +40,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
         named = sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="vitalens-checkpoint-"))
     return df.checkpoint()
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Redistribute a table whose scan has fewer splits than there are cores.
+
+    A large table has far more splits than cores and passes through unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -118,17 +118,20 @@ def ingest(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     screened = screen(files)
     usable = screened.filter(F.col("reject_reason").isNull())
-    decoded = usable.withColumn("codec", codec(F.col("content"))).withColumn(
-        "text", tx.clean(decode(F.col("content"), F.col("codec")))
-    )
+    coded = usable.withColumn("codec", codec(F.col("content")))
+    text = tx.clean(decode(F.col("content"), F.col("codec")))
+    decoded = coded.withColumn("text", text)
     accepted = describe(
-        decoded.filter(~near_empty(F.col("text"))).select(
-            F.sha2("path", 256).alias("doc_id"),
-            F.regexp_extract("path", "[^/]+$", 0).alias("filename"),
-            F.col("modificationTime").alias("created_at"),
-            "codec",
-            "text",
-        )
+        drop_near_empty(
+            coded.select(
+                F.sha2("path", 256).alias("doc_id"),
+                F.regexp_extract("path", "[^/]+$", 0).alias("filename"),
+                F.col("modificationTime").alias("created_at"),
+                "codec",
+                "content",
+            ),
+            text,
+        ).drop("content")
     )
     rejected = (
         screened.filter(F.col("reject_reason").isNotNull())
@@ -142,10 +145,22 @@ def ingest(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return accepted, rejected
 
 
+def drop_near_empty(docs: DataFrame, text: Column) -> DataFrame:
+    """Set ``text`` and keep documents with enough of it.
+
+    The text passes through a generator: a plain filter would be pushed below
+    the cleaning and clean every document a second time.
+    """
+    kept = F.filter(F.array(text), lambda t: ~near_empty(t))
+    others = [c for c in docs.columns if c != "text"]
+    return docs.select(*others, F.explode_outer(kept).alias("text")).filter(
+        F.col("text").isNotNull()
+    )
+
+
 def clean_documents(docs: DataFrame) -> DataFrame:
     """Clean extracted text and drop documents left with almost none."""
-    cleaned = docs.withColumn("text", tx.clean(F.col("text")))
-    return describe(cleaned.filter(~near_empty(F.col("text"))))
+    return describe(drop_near_empty(docs, tx.clean(F.col("text"))))
 
 
 def stored_layout(df: DataFrame, column: str) -> DataFrame:

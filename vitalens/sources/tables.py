@@ -12,6 +12,8 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vitalens.session import spread
+
 TODAY = date(2002, 1, 1)  # the given orders end in 2001
 
 
@@ -331,11 +333,11 @@ def _qualify(text: str, name: str) -> str:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 def dirty_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, DIRTY_DOCS, ["documents"])
+    return spread(view(spark, sf_dir, DIRTY_DOCS, ["documents"]), "doc_id")
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -375,7 +377,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cv_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, CV_POSTINGS, ["part"])
+    return spread(view(spark, sf_dir, CV_POSTINGS, ["part"]), "posting_id")
 
 
 def owners(spark: SparkSession, sf_dir: str) -> DataFrame:
