@@ -201,7 +201,11 @@ def history(
         .offset(offset)
         .limit(limit)
     )
-    return page.join(docs.select("doc_id", "filename"), "doc_id", "left").orderBy(*newest_first())
+    # Sorted by one struct: re-optimisation drops a sort on the keys the page was taken by,
+    # although the join in between does not keep its order.
+    return page.join(docs.select("doc_id", "filename"), "doc_id", "left").orderBy(
+        F.struct("created_at", "review_id").desc()
+    )
 
 
 def sort_history(reviews: DataFrame, order: str = "newest") -> DataFrame:

@@ -104,7 +104,8 @@ role_text AS (
     split_part('Senior Engineer,Data Analyst,Product Manager,Team Lead,Consultant', ',', CAST(1 + r.o_orderkey % 5 AS INT))
     || ', ' || split_part('Northlake Systems,Tallpine Foods,Brightwell Labs,Redgate Freight', ',', CAST(1 + r.o_orderkey % 4 AS INT))
     || ' | '
-    || CASE WHEN r.k % 6 = 0 THEN '' WHEN r.k % 6 = 1 THEN CAST(r.m AS STRING) || '/'
+    || CASE WHEN r.k % 47 = 5 THEN 'remote' ELSE
+       CASE WHEN r.k % 6 = 0 THEN '' WHEN r.k % 6 = 1 THEN CAST(r.m AS STRING) || '/'
             ELSE split_part('Jan,Feb,March,Apr.,May,June,Jul,Aug,Sept,Oct,November,Dec', ',', r.m) || ' ' END
     || CAST(r.y AS STRING)
     || CASE WHEN r.o_orderkey % 4 = 1 THEN ' to ' ELSE ' - ' END
@@ -112,7 +113,7 @@ role_text AS (
             THEN CASE WHEN r.k % 8 = 3 THEN 'current' ELSE 'Present' END
             ELSE CASE WHEN r.k % 6 = 0 THEN '' WHEN r.k % 6 = 1 THEN CAST(r.end_ord % 12 + 1 AS STRING) || '/'
                       ELSE split_part('Jan,Feb,March,Apr.,May,June,Jul,Aug,Sept,Oct,November,Dec', ',', CAST(r.end_ord % 12 + 1 AS INT)) || ' ' END
-                 || CAST(r.end_ord @div 12 AS STRING) END
+                 || CAST(r.end_ord @div 12 AS STRING) END END
     || CASE WHEN b.bullets IS NULL OR r.k % 37 = 9 THEN '' ELSE chr(10) || b.bullets END AS role_block
   FROM roles r LEFT JOIN role_bullets b ON r.o_orderkey = b.o_orderkey),
 work AS (
@@ -158,11 +159,11 @@ blocks AS (
       split_part('Experience,Work Experience,Employment History,Professional Experience & Projects', ',', CAST(1 + k % 4 AS INT)) END AS work_h,
     CASE WHEN k % 23 = 0 THEN '' ELSE coalesce(chr(10) || work_text, '') END AS work_b,
     CASE WHEN k % 19 = 2 THEN NULL ELSE split_part('Education,Academic Background', ',', CAST(1 + k % 2 AS INT)) END AS edu_h,
-    CASE WHEN k % 23 = 1 THEN '' ELSE chr(10) || 'BSc Computing, City University, 1990 - 1994' END AS edu_b,
+    CASE WHEN k % 23 = 1 THEN '' WHEN k % 47 = 5 THEN chr(10) || 'BSc Computing, City University' ELSE chr(10) || 'BSc Computing, City University, 1990 - 1994' END AS edu_b,
     CASE WHEN k % 19 = 3 THEN NULL ELSE split_part('Skills,Technical Skills,Core Competencies,Tech Stack', ',', CAST(1 + k % 4 AS INT)) END AS skills_h,
-    chr(10) || 'Python, SQL, Kafka, ' || split_part('Docker,React,Terraform,Excel,Spark', ',', CAST(1 + k % 5 AS INT))
+    CASE WHEN k % 23 = 2 THEN '' ELSE chr(10) || 'Python, SQL, Kafka, ' || split_part('Docker,React,Terraform,Excel,Spark', ',', CAST(1 + k % 5 AS INT))
     || CASE WHEN k % 31 = 0 THEN ', Microsoft Word, Email' ELSE '' END
-    || CASE WHEN k % 38 = 0 THEN chr(10) || repeat('alpha beta ', 65) || 'gamma' ELSE '' END AS skills_b,
+    || CASE WHEN k % 38 = 0 THEN chr(10) || repeat('alpha beta ', 65) || 'gamma' ELSE '' END END AS skills_b,
     concat_ws(chr(10),
       CASE WHEN k % 16 = 7 THEN 'Hobbies' || chr(10) || 'Chess and cycling' END,
       CASE WHEN k % 12 = 5 THEN 'References' || chr(10) || 'Available on request' END,
