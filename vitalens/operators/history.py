@@ -201,10 +201,13 @@ def history(
         .offset(offset)
         .limit(limit)
     )
-    # Sorted by one struct: re-optimisation drops a sort on the keys the page was taken by,
-    # although the join in between does not keep its order.
-    return page.join(docs.select("doc_id", "filename"), "doc_id", "left").orderBy(
-        F.struct("created_at", "review_id").desc()
+    # A page holds at most 100 rows, so it is ordered as one array: a sort above the join is
+    # dropped when the plan is optimised again at run time, as if the join kept the page's order.
+    named = page.join(docs.select("doc_id", "filename"), "doc_id", "left")
+    keys = ["created_at", "review_id"]
+    row = F.struct(*keys, *[c for c in named.columns if c not in keys])
+    return named.agg(F.sort_array(F.collect_list(row), asc=False).alias("rows")).select(
+        F.inline("rows")
     )
 
 
