@@ -108,3 +108,12 @@ def salted_join(
     )
     right = one.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """Hint a broadcast once a count has shown the table to be small; else leave the join to Spark.
+
+    The count runs when the plan is built and stops at the bound.
+    """
+    small = df.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(df) if small else df

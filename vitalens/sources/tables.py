@@ -61,7 +61,8 @@ DUCKDB = Dialect(
 # Career documents: one per customer, built from its first orders and their items.
 # Branches are chosen by modulus so that every rule fires for some documents only.
 CV_DOCS = r"""
-WITH n_docs AS (SELECT count(*) AS n FROM documents),
+WITH keyed AS (
+  SELECT c_custkey, c_nationkey, c_custkey % (SELECT count(*) FROM documents) AS doc_key FROM customer),
 ranked_orders AS (
   SELECT o_custkey, o_orderkey, o_orderstatus, o_orderdate,
          row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS role_no
@@ -126,8 +127,8 @@ parts AS (
     split_part('Whitfield,Santos,Okafor,Lindqvist,Moreau,Tanaka,Kowalski', ',', CAST(1 + c.c_custkey % 7 AS INT)) AS ln,
     @rx(substr(d.text, 1, 220), '[^A-Za-z]+', ' ') AS blurb,
     @rx(substr(d.text, 1, 1800), '[^A-Za-z]+', ' ') AS essay
-  FROM customer c CROSS JOIN n_docs n
-  LEFT JOIN documents d ON d.doc_id = c.c_custkey % n.n
+  FROM keyed c
+  LEFT JOIN documents d ON d.doc_id = c.doc_key
   LEFT JOIN work w ON w.k = c.c_custkey),
 blocks AS (
   SELECT k, nk, sep, style,
