@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,17 +29,23 @@ def local_session(cpus: int | str | None = None, app: str = "vitalens") -> Spark
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the checkpoint folder the cluster names.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for checkpoints and saved tables, as ``spark.checkpoint.dir`` names it.
 
-    The folder is read from ``spark.checkpoint.dir``; only where that is unset,
-    as in local tests, a temporary one is made.
+    Only a run in one local process, as in tests, may leave it unset and gets a temporary one.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="vitalens-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage through the checkpoint folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
