@@ -16,6 +16,9 @@ of at least PERCENT / 100, and the smallest doc_id that links reach is their com
    are compared with it.  Lists whose classes are then connected are done.  In the others
    classes of different components are compared.  So a group of near copies costs one
    comparison per copy, and no pair that could join two components is left out.
+   Of the shingles that fall in one of BUCKETS by their hash, two classes cannot share more
+   than the smaller number that either of them shares with any class left; the sum over
+   the buckets rules out nearly all pairs of a group of distant copies.
 5. Each comparison counts agreeing pairs first and is confirmed on the full sets.
 
 Null and empty texts, and texts of white space, have an empty set and no links.  A null
@@ -37,6 +40,7 @@ from vitalens.llm.components import components
 
 SHINGLE, PERCENT = 5, 85
 COORDINATES, MATCHES = 32, 16
+BUCKETS = 64
 
 
 class Shingles:
@@ -133,6 +137,31 @@ def confirmed(pairs: DataFrame, reps: DataFrame, size: int, percent: int) -> Dat
     return saved(arrow_map(whole, work, "a bigint, b bigint"))
 
 
+def shared(reps: DataFrame, size: int) -> DataFrame:
+    """(class, held): for each bucket, how many shingles of a class some other class of reps has as well."""
+
+    def work(batches):
+        sets = Shingles(size)
+        for batch in slices(batches):
+            found = [sets.of(t) for t in texts(batch.column(1))]
+            take = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))], names=["class", "shingle"])
+
+    def count(batches):
+        sets = Shingles(size)
+        for batch in slices(batches):
+            held = [np.bincount((sets.of(t) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS).tolist() for t in texts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.list_(pa.int64()))], names=["class", "every"])
+
+    slim = reps.select("class", "text")
+    single = arrow_map(slim, work, "class bigint, shingle bigint").groupBy("shingle").agg(F.count("*").alias("holders"), F.min("class").alias("class")).where("holders = 1")
+    # Hashes are unsigned in the tasks and signed here; their low bits agree.
+    bucket = F.col("shingle").bitwiseAND(BUCKETS - 1)
+    single = single.groupBy("class").agg(F.array(*[F.count(F.when(bucket == i, 1)) for i in range(BUCKETS)]).alias("alone"))
+    both = arrow_map(slim, count, "class bigint, every array<bigint>").join(single, "class", "left")
+    return both.select("class", F.when(F.col("alone").isNull(), F.col("every")).otherwise(F.zip_with("every", "alone", lambda n, k: n - k)).alias("held"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, text_key, n_shingles, component_id, kept."""
     docs = df.select(df[id_col].cast("bigint").alias("doc_id"), df[text_col].cast("string").alias("text"))
@@ -144,7 +173,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     posted = saved(postings(classes))
     slim = classes.drop("set_key").join(posted.select("class").distinct(), "class", "left_semi")
     texts_of = docs.select(F.col("doc_id").alias("class"), F.xxhash64("text").alias("text_key"), "text")
-    reps = saved(texts_of.join(slim.select("class", "text_key"), ["class", "text_key"]).dropDuplicates(["class", "text_key"]).select("class", "text"))
+    reps = saved(texts_of.join(slim.select("class", "text_key", "n"), ["class", "text_key"]).dropDuplicates(["class", "text_key"]).select("class", "n", "text"))
 
     centres = posted.groupBy("token").agg(F.max(F.struct("weight", (-F.col("class")).alias("last"))).alias("top")).select("token", (-F.col("top.last")).alias("a"))
     stars = posted.join(centres, "token").where("class != a").select("a", F.col("class").alias("b")).distinct()
@@ -156,9 +185,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Lists in which more than one component is left, and the pairs across components in them.
     placed = posted.join(joined, "class", "left").select("token", "class", F.coalesce("component", "class").alias("part"))
     open_lists = placed.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("token")
-    rest = saved(placed.join(open_lists, "token").join(slim, "class"))
-    columns = ("token", "class", "part", "n", "minima")
-    across = sided(rest, "a", *columns).join(sided(rest, "b", *columns), "token").where(F.col("part_a") < F.col("part_b")).where(alike(percent))
+    rest = saved(placed.join(open_lists, "token"))
+    common = saved(shared(reps.join(rest.select("class").distinct(), "class", "left_semi"), size))
+    total = lambda counts: F.aggregate(counts, F.lit(0).cast("bigint"), lambda n, x: n + x)
+    chosen = slim.join(common.withColumn("s", total("held")), "class").where(100 * F.col("s") >= percent * F.col("n"))
+    rest = saved(rest.join(chosen, "class"))
+    columns = ("token", "class", "part", "n", "s", "held", "minima")
+    enough = lambda both: 100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)
+    # The cheap bound goes first; the arrays are compared only where it leaves a chance.
+    chance = F.when(enough(F.least("s_a", "s_b")), alike(percent) & enough(total(F.zip_with("held_a", "held_b", lambda x, y: F.least(x, y)))))
+    across = sided(rest, "a", *columns).join(sided(rest, "b", *columns), "token").where((F.col("part_a") < F.col("part_b")) & chance)
     tested = near.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"))
     across = across.select("a", "b", F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")).distinct().join(tested, ["p", "q"], "left_anti")
     more = confirmed(across.select("a", "b"), reps, size, percent)
