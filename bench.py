@@ -14,13 +14,11 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import functions as F  # noqa: E402
-
 from vitalens.operators import history as hs  # noqa: E402
 from vitalens.operators import layout as ly  # noqa: E402
 from vitalens.operators import matching as mt  # noqa: E402
 from vitalens.plans import corpus  # noqa: E402
-from vitalens.plans.queries import QUERIES  # noqa: E402
+from vitalens.plans.queries import QUERIES, doc_requests  # noqa: E402
 from vitalens.session import local_session  # noqa: E402
 from vitalens.sources import ingest  # noqa: E402
 from vitalens.sources import tables as tb  # noqa: E402
@@ -36,9 +34,8 @@ def score_cv(spark, d):
 
 def match(spark, d):
     docs = tb.documents(spark, d)
-    ids = F.array(F.col("doc_id") % 40, (F.col("doc_id") * 7 + 3) % 40)
-    requests = docs.select("doc_id", F.explode(F.array_distinct(ids)).alias("posting_id"))
-    return mt.match_report(docs, tb.postings(spark, d), requests)
+    postings = tb.postings(spark, d)
+    return mt.match_report(docs, postings, doc_requests(docs, postings))
 
 
 HEADLINE = {

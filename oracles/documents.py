@@ -48,7 +48,7 @@ SQL: dict[str, str] = {
     "p9_tidy_input": f"""SELECT doc_id, line_no, nullif({strip('line')}, '') AS tidy FROM (
       SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS line_no
       FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM ({_DIRTY})))""",
-    "p11_truncate": """SELECT doc_id, md5(CASE WHEN length(text) > 2000 THEN left(text, 2000) || chr(10) || chr(10) || '[... truncated for length ...]' ELSE text END) AS body FROM documents""",
+    "p11_truncate": """SELECT doc_id, md5(CASE WHEN length(text) > 2000 THEN left(text, 2000) || chr(10) || '(cut here: the rest is longer than the limit)' ELSE text END) AS body FROM documents""",
     "p12_lines": """SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line_no, length(unnest(ls)) AS chars
       FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)""",
     "src3_near_empty": f"SELECT doc_id FROM documents WHERE length({strip('text')}) < 100",
@@ -131,9 +131,9 @@ _PROMPT = """'Role: unspecified' || chr(10)
        SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY finding_no) AS rn FROM findings WHERE severity <> 'positive') f
        WHERE f.doc_id = d.doc_id AND rn <= 12), '- (none)') || chr(10)
   || 'No posting was supplied.' || chr(10)
-  || '=== BEGIN DOCUMENT (data) ===' || chr(10)
-  || CASE WHEN length(d.text) > 24000 THEN left(d.text, 24000) || chr(10) || chr(10) || '[... truncated for length ...]' ELSE d.text END
-  || chr(10) || '=== END DOCUMENT ==='"""
+  || '<<document>>' || chr(10)
+  || CASE WHEN length(d.text) > 24000 THEN left(d.text, 24000) || chr(10) || '(cut here: the rest is longer than the limit)' ELSE d.text END
+  || chr(10) || '<</document>>'"""
 SQL["ag10_prompts"] = cv_sql(
     "scores",
     f"""SELECT doc_id, md5(p) AS prompt, length(p) AS chars FROM (SELECT d.doc_id, {_PROMPT} AS p

@@ -121,7 +121,7 @@ SQL: dict[str, str] = {
         """SELECT p.review_id, p.baseline_id, CASE WHEN c.status <> 'complete' THEN 'review_incomplete'
           WHEN p.review_id = p.baseline_id THEN 'same_review'
           WHEN b.review_id IS NULL OR b.owner_id <> c.owner_id OR b.status <> 'complete' THEN 'baseline_not_found' END AS reason
-        FROM (SELECT review_id, CASE review_id % 5 WHEN 0 THEN review_id WHEN 1 THEN -review_id ELSE (review_id * 3) % 1000 END AS baseline_id FROM reviews ) p
+        FROM (SELECT review_id, CASE review_id % 5 WHEN 0 THEN review_id WHEN 1 THEN -review_id ELSE (review_id * 3) % (SELECT count(*) FROM reviews) END AS baseline_id FROM reviews ) p
         JOIN reviews c ON c.review_id = p.review_id LEFT JOIN reviews b ON b.review_id = p.baseline_id"""
     ),
     "j7_finding_diff": sql("SELECT review_id, baseline_id, rule_id, change FROM diff "),

@@ -189,7 +189,7 @@ _DOCS = [("d_src", "SELECT doc_id, text FROM documents")]
 _POST = [("p_src", tb.POSTINGS)]
 _CVPOST = [("p_src", tb.DUCKDB.render(tb.CV_POSTINGS))]
 _BOTH = [("p_src", "SELECT -1 - item_id AS posting_id, text FROM benchmark UNION ALL " + tb.DUCKDB.render(tb.CV_POSTINGS))]
-_DOC_REQUESTS = "SELECT DISTINCT doc_id, unnest([doc_id % 40, (doc_id * 7 + 3) % 40]) AS posting_id FROM documents"
+_DOC_REQUESTS = "SELECT DISTINCT doc_id, unnest([doc_id % n, (doc_id * 7 + 3) % n]) AS posting_id FROM documents, (SELECT count(*) AS n FROM benchmark)"
 _CV_REQUESTS = "SELECT doc_id, doc_id AS posting_id FROM docs"
 _CV_MATCH = (
     _CVPOST

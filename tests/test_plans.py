@@ -50,8 +50,8 @@ def test_partitioning_does_not_change_results(docs_of):
 
 def test_stored_reviews_can_be_read_back(spark, docs_of, tmp_path):
     reviews = corpus.score_corpus(docs_of(STRONG_CV, WEAK_CV), TODAY)
-    sinks.write_reviews(reviews, str(tmp_path), TODAY)
-    sinks.write_reviews(reviews, str(tmp_path), TODAY)  # a repeat replaces its partition
+    sinks.write_reviews(reviews, str(tmp_path), TODAY, run_id="first")
+    sinks.write_reviews(reviews, str(tmp_path), TODAY, run_id="first")  # a repeat replaces its run
     assert spark.read.parquet(str(tmp_path / "reviews")).count() == 2
     assert spark.read.parquet(str(tmp_path / "category_scores")).count() == 12
     stored = spark.read.parquet(str(tmp_path / "findings"))
@@ -59,6 +59,13 @@ def test_stored_reviews_can_be_read_back(spark, docs_of, tmp_path):
     assert {str(r.review_date) for r in stored.select("review_date").distinct().collect()} == {str(TODAY)}
 
 
+def test_runs_of_one_day_are_both_kept(spark, docs_of, tmp_path):
+    for text in (STRONG_CV, WEAK_CV):
+        sinks.write_reviews(corpus.score_corpus(docs_of(text), TODAY), str(tmp_path), TODAY)
+    assert spark.read.parquet(str(tmp_path / "reviews")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "category_scores")).count() == 12
+
+
 def test_streamed_uploads_equal_batch(spark, docs_of, tmp_path):
     (tmp_path / "in").mkdir()
     for name, text in {"a.txt": STRONG_CV, "b.txt": WEAK_CV}.items():

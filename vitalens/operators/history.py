@@ -45,8 +45,9 @@ def of_documents(reviews: DataFrame, wanted: DataFrame) -> DataFrame:
     return reviews.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
 
 
-def summaries(reviews: DataFrame) -> DataFrame:
+def summaries(reviews: DataFrame, *more: str) -> DataFrame:
     return reviews.select(
+        *more,
         "review_id",
         "doc_id",
         "status",

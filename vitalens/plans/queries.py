@@ -326,8 +326,9 @@ def _(spark, d):
 # --- keyword matching --------------------------------------------------------------------------------
 
 
-def _doc_requests(docs: DataFrame, n_postings: int = 40) -> DataFrame:
-    """Two postings per document, as an applicant would ask for."""
+def doc_requests(docs: DataFrame, postings: DataFrame) -> DataFrame:
+    """Two postings per document, spread over all postings (numbered from 0)."""
+    n_postings = postings.agg(F.count("*")).scalar()
     ids = F.array(F.col("doc_id") % n_postings, (F.col("doc_id") * 7 + 3) % n_postings)
     return docs.select("doc_id", F.explode(F.array_distinct(ids)).alias("posting_id"))
 
@@ -399,7 +400,7 @@ def _(spark, d):
 @query("k11_coverage")
 def _(spark, d):
     docs = tb.documents(spark, d)
-    report = mt.match_report(docs, tb.postings(spark, d), _doc_requests(docs))
+    report = mt.match_report(docs, tb.postings(spark, d), doc_requests(docs, tb.postings(spark, d)))
     return report.select(
         "doc_id", "posting_id", "coverage", "matched_count", "total_count",
         joined(F.transform(F.slice("missing", 1, 8), lambda t: t["term"])).alias("top_missing"),
@@ -491,7 +492,7 @@ def _(spark, d):
 @query("j1_f5_summaries")
 def _(spark, d):
     reviews = hs.with_filename(tb.ev_reviews(spark, d), tb.ev_docs(spark, d))
-    return hs.summaries(reviews).join(reviews.select("review_id", "filename"), "review_id").drop("created_at")
+    return hs.summaries(reviews, "filename").drop("created_at")
 
 
 @query("s3_history_page")
@@ -561,7 +562,7 @@ def _(spark, d):
         "review_id",
         F.when(F.col("review_id") % 5 == 0, F.col("review_id"))
         .when(F.col("review_id") % 5 == 1, -F.col("review_id"))
-        .otherwise(F.pmod(F.col("review_id") * 3, F.lit(1000)))
+        .otherwise(F.pmod(F.col("review_id") * 3, reviews.agg(F.count("*")).scalar()))
         .alias("baseline_id"),
     )
     return hs.check_pairs(pairs, reviews)

@@ -58,7 +58,7 @@ DUCKDB = Dialect(
     rx_find="regexp_extract({0}, {1}, {2})",
 )
 
-# Career documents: one per customer, built from its first orders and their items.
+# Career documents: one per customer, built from its orders, their items and a whole document.
 # Branches are chosen by modulus so that every rule fires for some documents only.
 CV_DOCS = r"""
 WITH keyed AS (
@@ -73,7 +73,7 @@ roles AS (
          CAST(extract(month FROM o_orderdate) AS INT) AS m,
          CAST(extract(year FROM o_orderdate) * 12 + extract(month FROM o_orderdate) - 1
               + o_orderkey % 30 AS INT) AS end_ord
-  FROM ranked_orders WHERE role_no <= 4),
+  FROM ranked_orders),
 ranked_items AS (
   SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag,
          row_number() OVER (PARTITION BY l_orderkey
@@ -96,8 +96,7 @@ items AS (
                  WHEN 4 THEN ' and I trained my team' ELSE '' END
          || CASE WHEN r.k % 11 = 5 AND item_no <= 2 THEN ' across several regional offices and partner organisations while keeping every existing commitment to clients and suppliers and preparing the handover of all supporting documents to the operations group before the end of the planning season without delay or rework' ELSE '' END
        END AS bullet
-  FROM ranked_items i JOIN roles r ON i.l_orderkey = r.o_orderkey
-  WHERE i.item_no <= 4),
+  FROM ranked_items i JOIN roles r ON i.l_orderkey = r.o_orderkey),
 role_bullets AS (
   SELECT o_orderkey, @agg(bullet, chr(10), item_no) AS bullets FROM items GROUP BY o_orderkey),
 role_text AS (
@@ -125,8 +124,7 @@ parts AS (
     c.c_custkey % 3 AS style, w.work_text,
     split_part('Dana,Amir,Lucia,Tomas,Ingrid,Wei,Nora,Pavel,Zoe,Omar,Freya', ',', CAST(1 + c.c_custkey % 11 AS INT)) AS fn,
     split_part('Whitfield,Santos,Okafor,Lindqvist,Moreau,Tanaka,Kowalski', ',', CAST(1 + c.c_custkey % 7 AS INT)) AS ln,
-    @rx(substr(d.text, 1, 220), '[^A-Za-z]+', ' ') AS blurb,
-    @rx(substr(d.text, 1, 1800), '[^A-Za-z]+', ' ') AS essay
+    @rx(d.text, '[^A-Za-z]+', ' ') AS blurb
   FROM keyed c
   LEFT JOIN documents d ON d.doc_id = c.doc_key
   LEFT JOIN work w ON w.k = c.c_custkey),
@@ -152,9 +150,9 @@ blocks AS (
     blurb
     || CASE WHEN k % 9 = 0 THEN ' with a proven' || chr(10) || 'track record' ELSE '' END
     || CASE WHEN k % 8 = 3 THEN ' and I know that my work helps us' ELSE '' END
-    || CASE WHEN k % 4 = 1 THEN chr(10) || essay WHEN k % 28 = 6 THEN repeat(chr(10) || essay, 5) ELSE '' END
+    || CASE WHEN k % 4 = 1 THEN chr(10) || blurb WHEN k % 28 = 6 THEN repeat(chr(10) || blurb, 5) ELSE '' END
     || CASE WHEN k % 27 = 4 THEN repeat('★', 13) ELSE '' END
-    || CASE WHEN k % 33 = 6 THEN repeat(chr(10) || substr(repeat(blurb, 3), 1, 150), 5) ELSE '' END
+    || CASE WHEN k % 33 = 6 THEN repeat(chr(10) || repeat('several regional offices and partner organisations kept every commitment ', 2), 5) ELSE '' END
     || CASE WHEN k % 34 = 8 THEN repeat(chr(10) || 'our GLOBAL SALES TEAM grew', 5) ELSE '' END AS summary_b,
     CASE WHEN k % 19 = 0 THEN NULL ELSE
       split_part('Experience,Work Experience,Employment History,Professional Experience & Projects', ',', CAST(1 + k % 4 AS INT)) END AS work_h,
@@ -212,7 +210,7 @@ SELECT CAST(user_id AS STRING) || '-' || CAST(CAST(@rx_find(props, '([0-9]+)', 1
        min(CAST(user_id AS STRING)) AS owner_id,
        'upload-' || CAST(min(event_id) AS STRING) || '.txt' AS filename,
        min(ts) AS created_at
-FROM events WHERE event_type <> 'signup' OR event_id % 5 <> 0
+FROM events
 GROUP BY 1
 """
 

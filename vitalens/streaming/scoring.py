@@ -34,7 +34,7 @@ def score_uploads(
     def write(batch: DataFrame, batch_id: int) -> None:
         accepted, rejected = ingest.ingest(batch)
         reviews = corpus.score_corpus(accepted, today)
-        sinks.write_reviews(reviews, target, today, batch_id=batch_id)
+        sinks.write_reviews(reviews, target, today, run_id=f"stream-{batch_id}")
         sinks.write_batch(rejected, f"{target}/rejected", batch_id)
 
     writer = files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -8,7 +8,6 @@ time order, with a state of at most ``limit`` timestamps.
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,28 +21,39 @@ from vitalens.operators import ordered
 DECISION = "key string, id bigint, micros bigint, admitted boolean, retry_after int, reason string"
 
 
-def decide(log: deque, now: int, limit: int, window: int) -> int | None:
-    """Admit at ``now`` (microseconds) and return None, or return seconds to wait."""
-    while log and now - log[0] > window * 1_000_000:
-        log.popleft()
-    if len(log) >= limit:
-        age = (now - log[0]) / 1_000_000
-        return max(1, int(window - age) + 1)
-    log.append(now)
-    return None
+class Ring:
+    """The times, in microseconds, of the last ``limit`` admitted requests of one key.
+
+    A request passes if the oldest of them has left the window: then fewer than
+    ``limit`` are inside.
+    """
+
+    def __init__(self, limit: int, window: int, times=()):
+        self.times = [*times][-limit:]
+        self.limit, self.span = limit, window * 1_000_000
+
+    def wait(self, now: int) -> int | None:
+        """Admit at ``now`` and return None, or return the whole seconds until a place is free."""
+        if len(self.times) == self.limit:
+            free = self.times[0] + self.span
+            if now <= free:
+                return (free - now) // 1_000_000 + 1
+            del self.times[0]
+        self.times.append(now)
+        return None
 
 
 def _decide_sorted(limit: int, window: int):
-    """Batch pass over rows sorted by (key, session, micros, id); carries one log across batches."""
+    """Batch pass over rows sorted by (key, session, micros, id); carries one ring across batches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, log = None, deque()
+        current, ring = None, Ring(limit, window)
         for pdf in batches:
             waits = []
             for key, session, now in zip(pdf["key"], pdf["session"], pdf["micros"]):
                 if (key, session) != current:
-                    current, log = (key, session), deque()
-                waits.append(decide(log, now, limit, window))
+                    current, ring = (key, session), Ring(limit, window)
+                waits.append(ring.wait(now))
             wait = pd.Series(waits, dtype="Int32")
             yield pd.DataFrame(
                 {
@@ -113,7 +123,8 @@ class SlidingLog(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows), ignore_index=True).sort_values(["micros", "id"])
-        log = deque(int(m) for (m,) in self.admitted.get()) if self.admitted.exists() else deque()
+        known = [int(m) for (m,) in self.admitted.get()] if self.admitted.exists() else []
+        ring = Ring(self.limit, self.window, known)
         newest = int(self.newest.get()[0]) if self.newest.exists() else None
         out = []
         for rid, now in zip(pdf["id"], pdf["micros"]):
@@ -122,9 +133,9 @@ class SlidingLog(StatefulProcessor):
                 out.append((key[0], int(rid), now, None, None, "late"))
                 continue
             newest = now
-            wait = decide(log, now, self.limit, self.window)
+            wait = ring.wait(now)
             out.append((key[0], int(rid), now, wait is None, wait, None if wait is None else "limit"))
-        self.admitted.put([(m,) for m in log])
+        self.admitted.put([(m,) for m in ring.times])
         self.newest.update((newest,))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
