@@ -170,7 +170,7 @@ class PrefixCounter:
 
 def within(differences: np.ndarray, budget: int) -> int:
     """The longest prefix, in characters, of at most budget tokens."""
-    if len(differences) <= budget:
+    if differences.sum(dtype=np.int64) <= budget:
         return len(differences)
     fits = np.flatnonzero(np.cumsum(differences, dtype=np.int64) <= budget)
     return int(fits[-1]) + 1 if len(fits) else 0
