@@ -53,48 +53,57 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     def post(batches):
         for batch in slices(batches):
-            owners, keys, hashes, starts = [], [], [], []
+            owners, hashes, starts, again = [], [], [], []
             for row, text in enumerate(texts(batch.column(2))):
                 h, at = windows(lines(text.decode("utf-8")), size, min_words)
-                h, first = np.unique(h, return_index=True)
+                repeated = np.ones(len(h), bool)
+                repeated[np.unique(h, return_index=True)[1]] = False
                 hashes.append(h)
-                starts.append(at[first])
+                starts.append(at)
+                again.append(repeated)
                 owners.append(np.full(len(h), row))
             take = pa.array(np.concatenate([np.empty(0, np.int64), *owners]).astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate([np.empty(0, np.uint64), *hashes]).view(np.int64)), pa.array(np.concatenate([np.empty(0, np.int64), *starts]).astype(np.int32))],
-                names=["id", "text_key", "window", "at"],
+                [
+                    batch.column(0).take(take),
+                    batch.column(1).take(take),
+                    pa.array(np.concatenate([np.empty(0, np.uint64), *hashes]).view(np.int64)),
+                    pa.array(np.concatenate([np.empty(0, np.int64), *starts]).astype(np.int32)),
+                    pa.array(np.concatenate([np.empty(0, bool), *again])),
+                ],
+                names=["id", "text_key", "window", "at", "again"],
             )
 
-    posted = saved(arrow_map(slim.select("id", F.xxhash64("text").alias("text_key"), "text"), post, "id bigint, text_key bigint, window bigint, at int"))
+    posted = saved(arrow_map(slim.select("id", F.xxhash64("text").alias("text_key"), "text"), post, "id bigint, text_key bigint, window bigint, at int, again boolean"))
+    places = posted.where("not again").drop("again")
     # Partial aggregates meet a window that many documents hold; adaptive joins split it.
-    shared = posted.groupBy("window").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1").select("window", "first")
-    covered = posted.join(shared, "window").where(~F.col("id").eqNullSafe(F.col("first"))).groupBy("id", "text_key").agg(F.collect_set("at").alias("covered"))
+    shared = places.groupBy("window").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1").select("window", "first")
+    later = places.join(shared, "window").where(~F.col("id").eqNullSafe(F.col("first"))).select("id", "text_key", "at")
+    covered = later.union(posted.where("again").select("id", "text_key", "at")).groupBy("id", "text_key").agg(F.collect_set("at").alias("covered"))
     covered = covered.withColumnRenamed("id", "covered_id").withColumnRenamed("text_key", "covered_key")
-    rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df[id_col].cast("bigint").alias("id"), df[text_col].cast("string").alias("text"))
-    rows = rows.join(covered, F.col("id").eqNullSafe(F.col("covered_id")) & F.xxhash64("text").eqNullSafe(F.col("covered_key")), "left")
+    # The text travels once, inside its row.
+    rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df[id_col].cast("bigint").alias("id"), F.xxhash64(df[text_col].cast("string")).alias("text_key"))
+    rows = rows.join(covered, F.col("id").eqNullSafe(F.col("covered_id")) & F.col("text_key").eqNullSafe(F.col("covered_key")), "left")
+    place = df.columns.index(text_col)
 
     def remove(batches):
         for batch in slices(batches):
             out, totals, removed = [], [], []
-            for text, starts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for text, starts in zip(batch.column(0).field(place).cast(pa.string()).to_pylist(), batch.column(1).to_pylist()):
                 parts = lines(text or "")
-                h, at = windows(parts, size, min_words)
-                repeated = np.ones(len(h), bool)
-                repeated[np.unique(h, return_index=True)[1]] = False
                 gone = np.zeros(len(parts), bool)
-                for start in [*at[repeated], *(starts or [])]:
+                for start in starts or ():
                     gone[start : start + size] = True
                 totals.append(len(parts))
                 removed.append(int(gone.sum()))
-                out.append(without(text, parts, gone) if gone.any() else text)
+                out.append(without(text, parts, gone) if starts else text)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(totals, pa.int64()), pa.array(removed, pa.int64())], names=["text", "n_lines", "n_removed"])],
                 names=["row", "lines"],
             )
 
     kind = rows.schema["row"].dataType.simpleString()
-    return arrow_map(rows.select("row", "text", "covered"), remove, f"row {kind}, lines struct<text:string,n_lines:bigint,n_removed:bigint>")
+    return arrow_map(rows.select("row", "covered"), remove, f"row {kind}, lines struct<text:string,n_lines:bigint,n_removed:bigint>")
 
 
 def without(text: str, parts: list[tuple[int, str]], gone: np.ndarray) -> str:
