@@ -80,4 +80,36 @@ def op10_nearest_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_near_duplicates, op4_language, op5_licenses, op6_decontamination, op7_main_text, op8_quality, op9_line_dedup, op10_nearest_vectors)}
-SQL: dict[str, str] = {}
+
+#: Places of windows by a join of word runs of each window's length, then the words they cover.
+OP6_SQL = r"""
+with split as (
+  select 'd' as kind, row_number() over () as r, doc_id, null as item, text from documents
+  union all
+  select 'b', row_number() over (), null, cast(item_id as varchar), text from benchmark where item_id is not null
+), worded as (
+  select kind, r, doc_id, item, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w
+  from split
+), windows as (
+  select distinct item, size, list_aggregate(w[i : i + size - 1], 'string_agg', ' ') as run
+  from (select item, w, least(10, len(w)) as size, unnest(range(1, len(w) - least(10, len(w)) + 2)) as i
+        from worded where kind = 'b' and len(w) > 0)
+), runs as (
+  select r, i, size, list_aggregate(w[i : i + size - 1], 'string_agg', ' ') as run
+  from (select r, w, size, unnest(range(1, len(w) - size + 2)) as i
+        from worded, (select distinct size from windows) where kind = 'd')
+), places as (
+  select r, i, size, item from runs join windows using (size, run)
+), hits as (
+  select r, count(distinct pos) as n_hit
+  from (select r, unnest(range(i, i + size)) as pos from (select distinct r, i, size from places)) group by r
+), found as (
+  select r, count(*) as n_items, string_agg(item, ',' order by item) as items
+  from (select distinct r, item from places) group by r
+)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit,
+  cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from worded left join hits using (r) left join found using (r) where kind = 'd'
+"""
+SQL: dict[str, str] = {"op6_decontamination": OP6_SQL}
