@@ -90,6 +90,9 @@ SQL: dict[str, str] = {
                CASE WHEN len(l) >= 2 THEN greatest(1, CAST(trunc(21600 - (micros - l[1]) / 1000000.0) AS INT) + 1) END
         FROM (SELECT e.*, list_filter(s.log, lambda x: e.micros - x <= 21600000000) AS l FROM st s JOIN ev e ON e.key = s.key AND e.rn = s.rn + 1))
       SELECT key, id, micros, admitted, retry_after, CASE WHEN NOT admitted THEN 'limit' END AS reason FROM st""",
+    "st4_request_counts": """SELECT CAST(user_id AS VARCHAR) AS key, start_micros, count(*) AS n FROM (
+        SELECT user_id, (epoch_us(ts) // 3600000000 - unnest(range(6))) * 3600000000 AS start_micros FROM events)
+      GROUP BY ALL""",
 }
 
 _COLUMNS = f"""SELECT doc_id, page, n AS n_words, n >= 40 AND least(l, r) / n > 0.22 AND (n - l - r) / n < 0.12 AS two_column

@@ -11,6 +11,7 @@ from vitalens.operators import history as hs
 from vitalens.operators import layout as ly
 from vitalens.operators import matching as mt
 from vitalens.operators import ordered
+from vitalens.sources import sinks
 from vitalens.streaming import throttle as th
 
 T0 = dt.datetime(2024, 1, 1)
@@ -175,28 +176,63 @@ def test_throttle_window_edge(spark):
     assert got == {0: True, 1: False, 2: True, 3: False}  # exactly the window is still inside
 
 
-def test_throttle_stream_equals_batch(spark, tmp_path):
-    rows = _throttle_rows(2)
+def _throttled(spark, tmp_path, batches, lateness):
+    """Decisions of a stream that reads one micro-batch after the other."""
     schema = "k string, i bigint, ts timestamp"
-    parts = sorted(rows, key=lambda r: (r[2], r[1]))
-    for n in range(5):
-        chunk = parts[n * 120 : (n + 1) * 120]
-        random.Random(n).shuffle(chunk)
-        spark.createDataFrame(chunk, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     q = (
-        th.throttle_stream(stream, "k", "ts", "i", limit=3, window=60, lateness="1 hour")
+        th.throttle_stream(stream, "k", "ts", "i", limit=3, window=60, lateness=lateness)
         .writeStream.format("parquet")
         .option("path", str(tmp_path / "out"))
         .option("checkpointLocation", str(tmp_path / "cp"))
         .trigger(availableNow=True)
         .start()
     )
-    q.awaitTermination(180)
-    got = {r.id: r.retry_after for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    q.awaitTermination(240)
+    return spark.read.parquet(str(tmp_path / "out")).collect()
+
+
+def test_throttle_stream_out_of_order_equals_batch(spark, tmp_path):
+    rows = _throttle_rows(2)
+    shuffled = sorted(rows, key=lambda r: hash((r[1], 7)) % 1009)
+    batches = [shuffled[n::5] for n in range(5)]
+    end = ("end", -1, max(r[2] for r in rows) + dt.timedelta(days=3))
+    got = {r.id: r.retry_after for r in _throttled(spark, tmp_path, [*batches, [end]], "1 day")}
+    got.pop(-1, None)  # the closing request itself still waits for the watermark
     assert got == _expected(rows, 3, 60)
 
 
+def test_throttle_stream_names_late_requests(spark, tmp_path):
+    t = dt.datetime(2026, 1, 1, 12)
+    batches = [
+        [("a", 0, t), ("b", 1, t + dt.timedelta(hours=1))],
+        [("a", 2, t + dt.timedelta(minutes=1)), ("a", 3, t + dt.timedelta(hours=2))],
+        [("b", 4, t + dt.timedelta(hours=9))],
+    ]
+    got = {r.id: (r.admitted, r.reason) for r in _throttled(spark, tmp_path, batches, "1 minute")}
+    assert got == {0: (True, None), 1: (True, None), 2: (None, "late"), 3: (True, None)}
+
+
+def test_stored_reviews_feed_history_and_erasure(spark, tmp_path):
+    review = "struct<rule_id:string,category:string,severity:string,penalty:double,evidence:array<string>,section:string>"
+    rows = [(f"d{i}", f"o{i % 2}", 70.0 + i, [("contact.x", "contact", "warning", 5.0, ["q"], None)], [("contact", 95.0)], [("contact.x",)]) for i in range(4)]
+    schema = f"doc_id string, owner_id string, overall double, findings array<{review}>, category_scores array<struct<category:string,score:double>>, priorities array<struct<rule_id:string>>"
+    reviews = spark.createDataFrame(rows, schema)
+    target, day = str(tmp_path / "store"), dt.datetime(2026, 1, 1).date()
+    for run in ("one", "two", "two"):  # the second attempt of a run replaces the first
+        sinks.write_reviews(reviews, target, day, run, dt.datetime(2026, 1, 1, 1 if run == "one" else 2))
+    names = ("reviews", "findings", "category_scores", "priorities")
+    stored = {n: spark.read.parquet(f"{target}/{n}") for n in names}
+    assert {n: df.count() for n, df in stored.items()} == dict.fromkeys(names, 8)
+    assert hs.completed(stored["reviews"]).select("review_id").distinct().count() == 8
+    assert {r.owner_id for r in hs.owned(stored["reviews"], "o1").collect()} == {"o1"}
+    erased = spark.createDataFrame([("owner", "o1"), ("document", "d0")], "kind string, id string")
+    left = hs.erase(stored, erased)
+    assert {n: {r.doc_id for r in df.collect()} for n, df in left.items()} == dict.fromkeys(names, {"d2"})
+
+
 def test_table_rows_drop_repeats(spark):
     cells = [(1, 0, 0, i, c) for i, c in enumerate(["a", "a", "", "a", "b"])] + [(1, 0, 1, 0, "")]
     df = spark.createDataFrame(cells, "doc_id int, table_no int, row_no int, col_no int, cell string")

@@ -460,19 +460,18 @@ def erase(tables: dict[str, DataFrame], erased: DataFrame) -> dict[str, DataFram
     def ids(kind: str, name: str) -> DataFrame:
         return erased.filter(F.col("kind") == kind).select(F.col("id").alias(name)).distinct()
 
-    def keep(df: DataFrame, name: str, gone: DataFrame) -> DataFrame:
-        return df.join(gone, name, "left_anti")
-
     out = dict(tables)
     owners, docs, reviews = ids("owner", "owner_id"), ids("document", "doc_id"), ids("review", "review_id")
-    for name in ("owners", "docs", "reviews"):
-        if name in out:
-            out[name] = keep(out[name], "owner_id", owners)
-    for name in ("docs", "reviews"):
-        if name in out:
-            out[name] = keep(out[name], "doc_id", docs)
-    out["reviews"] = keep(out["reviews"], "review_id", reviews)
-    for name in ("findings", "category_scores", "match_terms"):
+    gone = tables["reviews"].join(reviews, "review_id", "left_semi").select("review_id")
+    for column, lost in (("owner_id", owners), ("doc_id", docs)):
+        if column in tables["reviews"].columns:
+            gone = gone.union(tables["reviews"].join(lost, column, "left_semi").select("review_id"))
+    for name in ("owners", "docs"):
+        for column, lost in (("owner_id", owners), ("doc_id", docs)):
+            if name in out and column in out[name].columns:
+                out[name] = out[name].join(lost, column, "left_anti")
+    gone = gone.distinct()
+    for name in ("reviews", "findings", "category_scores", "priorities", "match_terms"):
         if name in out:
-            out[name] = out[name].join(out["reviews"].select("review_id"), "review_id", "left_semi")
+            out[name] = out[name].join(gone, "review_id", "left_anti")
     return out

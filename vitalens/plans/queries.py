@@ -821,3 +821,9 @@ def _(spark, d):
     return th.throttle(
         tb.table(spark, d, "events"), "user_id", "ts", "event_id", limit=2, window=6 * 3600, bucket="day"
     )
+
+
+@query("st4_request_counts")
+def _(spark, d):
+    counts = th.request_counts(tb.table(spark, d, "events"), "user_id", "ts", "6 hours", "1 hour")
+    return counts.select("key", F.unix_micros(F.col("window_start").cast("timestamp")).alias("start_micros"), "n")

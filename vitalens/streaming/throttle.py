@@ -8,6 +8,7 @@ time order, with a state of at most ``limit`` timestamps.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -110,7 +111,12 @@ def throttle(
 
 
 class SlidingLog(StatefulProcessor):
-    """Keyed state: admitted timestamps within the window and the newest time seen."""
+    """Keyed state: the last admitted times, and the requests the watermark has not passed yet.
+
+    Requests wait until the watermark passes them and are then decided in event order, so
+    micro-batches out of order give the decisions of a batch.  The waiting requests of a key
+    are those within the lateness; admitted times are at most ``limit``.
+    """
 
     def __init__(self, limit: int, window: int):
         self.limit = limit
@@ -119,40 +125,66 @@ class SlidingLog(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.admitted = handle.getListState("admitted", "micros bigint")
-        self.newest = handle.getValueState("newest", "micros bigint")
+        self.waiting = handle.getListState("waiting", "micros bigint, id bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["micros", "id"])
-        known = [int(m) for (m,) in self.admitted.get()] if self.admitted.exists() else []
+        passed = self.passed(timerValues)
+        earliest = None
+        for pdf in rows:
+            late = pdf["micros"] <= passed
+            if late.any():
+                yield self.decided(key, [(m, i, None, "late") for m, i in zip(pdf["micros"][late], pdf["id"][late])])
+            fresh = [(int(m), int(i)) for m, i in zip(pdf["micros"][~late], pdf["id"][~late])]
+            if fresh:
+                self.waiting.appendList(fresh)
+                first = min(fresh)[0]
+                earliest = first if earliest is None else min(earliest, first)
+        if earliest is not None:
+            self.wake(earliest)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = self.passed(timerValues)
+        waiting = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
+        due = bisect_left(waiting, (passed + 1,))
+        known = [m for (m,) in self.admitted.get()] if self.admitted.exists() else []
         ring = Ring(self.limit, self.window, known)
-        newest = int(self.newest.get()[0]) if self.newest.exists() else None
         out = []
-        for rid, now in zip(pdf["id"], pdf["micros"]):
-            now = int(now)
-            if newest is not None and now < newest:
-                out.append((key[0], int(rid), now, None, None, "late"))
-                continue
-            newest = now
+        for now, rid in waiting[:due]:
             wait = ring.wait(now)
-            out.append((key[0], int(rid), now, wait is None, wait, None if wait is None else "limit"))
-        self.admitted.put([(m,) for m in ring.times])
-        self.newest.update((newest,))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(newest // 1000 + (self.window + 1) * 1000)
-        frame = pd.DataFrame(
-            out, columns=["key", "id", "micros", "admitted", "retry_after", "reason"]
-        )
-        frame["admitted"] = frame["admitted"].astype("boolean")
-        frame["retry_after"] = frame["retry_after"].astype("Int32")
-        yield frame
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.admitted.clear()  # idle for longer than the window: nothing left to remember
-        self.newest.clear()
-        yield pd.DataFrame(
-            columns=["key", "id", "micros", "admitted", "retry_after", "reason"]
-        ).astype({"id": "int64", "micros": "int64", "admitted": "boolean", "retry_after": "Int32"})
+            out.append((now, rid, wait, None if wait is None else "limit"))
+        rest = waiting[due:]
+        over = not rest and (not ring.times or ring.times[-1] + ring.span < passed)
+        for state, values in ((self.waiting, rest), (self.admitted, [] if over else [(m,) for m in ring.times])):
+            if values:
+                state.put(values)
+            else:
+                state.clear()
+        if not over:  # else nothing is left to remember
+            fired = expiredTimerInfo.getExpiryTimeInMs()
+            self.wake(rest[0][0] if rest else ring.times[-1] + ring.span, fired)
+        yield self.decided(key, out)
+
+    @staticmethod
+    def passed(timerValues) -> int:
+        """The watermark in microseconds; before there is one, nothing is late."""
+        return timerValues.getCurrentWatermarkInMs() * 1000 or -(1 << 62)
+
+    def wake(self, micros: int, fired: int = -1) -> None:
+        """One timer per key, at the earliest time asked for; the fired one counts no more."""
+        at = -(-micros // 1000)
+        known = [timer for timer in self.handle.listTimers() if timer > fired]
+        if not known or at < min(known):
+            for timer in known:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(at)
+
+    @staticmethod
+    def decided(key, rows: list[tuple]) -> pd.DataFrame:
+        """rows: (micros, id, wait, reason); without a reason the request is admitted."""
+        frame = pd.DataFrame(rows, columns=["micros", "id", "retry_after", "reason"]).astype({"micros": "int64", "id": "int64", "retry_after": "Int32", "reason": "object"})
+        admitted = frame["reason"].map({"limit": False, "late": None}).where(frame["reason"].notna(), True)
+        frame["admitted"], frame["key"] = admitted.astype("boolean"), key[0]
+        return frame[["key", "id", "micros", "admitted", "retry_after", "reason"]]
 
     def close(self) -> None:
         pass
@@ -169,17 +201,17 @@ def throttle_stream(
 ) -> DataFrame:
     """Streaming form of ``throttle``; needs the RocksDB state store.
 
-    Requests older than the newest one already decided for their key come out
-    with ``admitted`` null and reason ``late``; requests behind the watermark are
-    dropped.
+    A request is decided when the watermark passes it.  One that comes behind the watermark
+    gets ``admitted`` null and reason ``late``; none is dropped.
     """
     base = requests.select(
         F.col(key).cast("string").alias("key"),
         F.col(request_id).cast("bigint").alias("id"),
         F.col(ts).cast("timestamp").alias("ts"),
-    ).withColumn("micros", F.unix_micros("ts"))
+    ).withWatermark("ts", lateness)
+    # The event-time column itself stays behind, or Spark would drop late rows before the state sees them.
     return (
-        base.withWatermark("ts", lateness)
+        base.select("key", "id", F.unix_micros("ts").alias("micros"))
         .groupBy("key")
         .transformWithStateInPandas(
             statefulProcessor=SlidingLog(limit, window),
@@ -188,3 +220,13 @@ def throttle_stream(
             timeMode="EventTime",
         )
     )
+
+
+def request_counts(requests: DataFrame, key: str, ts: str, width: str = "60 seconds", slide: str = "10 seconds") -> DataFrame:
+    """(key, window_start, n): requests of each key per sliding window; for tables and streams.
+
+    A stream brings its own watermark on ``ts``.  Counts are partial before the shuffle, so a
+    hot key is one row per window and task.
+    """
+    counted = requests.groupBy(F.col(key).cast("string").alias("key"), F.window(ts, width, slide).alias("w")).agg(F.count("*").alias("n"))
+    return counted.select("key", F.col("w.start").alias("window_start"), "n")
