@@ -174,6 +174,46 @@ def test_language_model_sums_to_one():
     assert 0.8 < total <= 1.0001  # the rest is kept for unseen characters
 
 
+def test_language_model_is_whole(spark):
+    import numpy as np
+
+    r = random.Random(11)
+    rows = [(lang, "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(90))) for lang in ("aa", "bb") for _ in range(1500)]
+    grams = {}
+    for lang, t in rows:
+        x = " " * 4 + " ".join(t.split()) + " "
+        grams.setdefault(lang, Counter()).update(x[i : i + 5] for i in range(len(x) - 4))
+    want = langid.Model([(lang, g, n) for lang, c in grams.items() for g, n in c.items()])
+    assert len(want.tables[4].keys) > 200_001
+    model, _, _ = langid.model_of(spark.createDataFrame(rows, "lang string, text string"))
+    uris = tuple(u for us, _, _ in model.groups for u in us)
+    got, low = langid.loaded(uris, 2), np.uint64(2**64 - 2 ** (64 - langid.HASH_BITS))
+    assert (model.langs, model.floor) == (want.langs, want.floor)
+    for n in range(1, 6):
+        for kind, table_ in ((n, want.tables[n - 1]), (5 + n, want.backoffs[n - 1])):
+            assert (got[kind].keys[:-1] == table_.keys[:-1] & low).all()
+            assert np.allclose(got[kind].values, table_.values, atol=1e-4)
+    # The same scores when a task cannot hold all of it.
+    read = [langid.spelled(t.encode()) for t in ("banana split", rows[0][1], "é", "x")]
+    parts = langid.Scorer(model.langs, model.floor, [])
+    parts.groups = [([u], *bounds(u)) for u in uris]
+    assert len(parts.groups) >= 16 and np.allclose(model.entropies(read), parts.entropies(read))
+
+
+def bounds(uri):
+    import pyarrow.parquet as pq
+
+    codes = pq.read_table(uri.removeprefix("file://"))["code"].to_pylist()
+    return min(codes), max(codes)
+
+
+def test_language_has_no_limit_of_languages(spark):
+    rows = [(f"l{i:02}", f"{WORDS[i % 50]}{WORDS[i // 50]} {WORDS[(7 * i) % 50]} " * 4) for i in range(70)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id bigint, lang string, text string")
+    learned = langid.model_of(df.select("lang", "text"))
+    assert all(r.lang_pred == f"l{r.doc_id:02}" for r in langid.predict(df, learned).collect())
+
+
 # --- licenses ------------------------------------------------------------------------------------
 
 
