@@ -27,8 +27,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    """One document of each group of near copies, linked from a similarity of 0.8 on, stays."""
+    kept = neardup.near_duplicates(docs, percent=80).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
     keyed = docs.withColumn("_text_key", F.xxhash64("text"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_text_key").eqNullSafe(F.col("_key"))
     return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text_key"]).select(*docs.columns)

@@ -385,3 +385,15 @@ def test_pipeline_keeps_one_of_each_group(spark, docs):
     full = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in ROWS], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     kept = [r.doc_id for r in corpus_pipeline.duplicate_stage(spark, full, SF).collect()]
     assert sorted(x for x in kept if x is not None) == [1, 2, 3, 4, 8, 9, 10, 11]
+
+
+def test_pipeline_links_copies_from_80_percent_on(spark):
+    rows = []
+    for i in range(20):
+        w = [f"{x}{i}" for x in prose(100 + i, 154).split()]  # 150 shingles
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:-15], *(f"new{j}" for j in range(15))]))]
+    a, b = (shingles(t) for _, t in rows[:2])
+    assert 0.80 <= len(a & b) / len(a | b) < 0.85
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted(r.doc_id for r in corpus_pipeline.duplicate_stage(spark, df, SF).collect()) == list(range(0, 40, 2))
+    assert [neardup.matches_of(p) for p in (80, 85, 100)] == [13, 16, 32]

@@ -7,11 +7,12 @@ of at least PERCENT / 100, and the smallest doc_id that links reach is their com
 
 1. Documents of one set form a class, and one text stands for it.
 2. The signature has COORDINATES minima.  Documents are posted under each pair of
-   coordinate and value.  Two texts are candidates if at least MATCHES pairs agree.
-   With similarity 0.85 fewer agree once in two million cases.
+   coordinate and value.  Two texts are candidates if at least `matches` pairs agree, the
+   largest number for which a pair at the limit is missed in at most MISSED of all cases:
+   16 at 0.85 (6 in ten million), 13 at 0.80 (2 in ten million).
 3. Prefix: with pairs ordered by how many classes carry them, candidates share one of
-   their COORDINATES - MATCHES + 1 rarest pairs, so only those are posted; pairs of one
-   class alone are skipped, and so are classes that cannot reach MATCHES any more.
+   their COORDINATES - matches + 1 rarest pairs, so only those are posted; pairs of one
+   class alone are skipped, and so are classes that cannot reach that number any more.
 4. In each posted list the class whose pairs are the most common is the centre; the rest
    are compared with it.  Lists whose classes are then connected are done.  In the others
    classes of different components are compared.  So a group of near copies costs one
@@ -29,6 +30,7 @@ that share a doc_id with different texts each get the component of their own set
 from __future__ import annotations
 
 import hashlib
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,7 @@ from vitalens.llm.common import WordHashes, arrow_map, mixed, rolling, saved, sl
 from vitalens.llm.components import components
 
 SHINGLE, PERCENT = 5, 85
-COORDINATES, MATCHES = 32, 16
+COORDINATES, MISSED = 32, 1e-6
 BUCKETS = 64
 
 
@@ -92,16 +94,26 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     )
 
 
-def postings(classes: DataFrame) -> DataFrame:
+def matches_of(percent: int) -> int:
+    """The most agreeing coordinates to ask for that miss a pair of that similarity in at most MISSED of all cases."""
+    p, missed = percent / 100, 0.0
+    for m in range(COORDINATES):
+        missed += comb(COORDINATES, m) * p**m * (1 - p) ** (COORDINATES - m)  # m agree, fewer than m + 1
+        if missed > MISSED:
+            return max(1, m)
+    return COORDINATES
+
+
+def postings(classes: DataFrame, matches: int) -> DataFrame:
     """(token, class, weight): the rarest pairs of each class that another class may share."""
     pairs = classes.select("class", F.posexplode("minima").alias("at", "value")).select(
         "class", (F.col("at").cast("bigint") * F.lit(1 << 32) + F.col("value")).alias("token")
     )
     carried = pairs.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     held = pairs.join(carried, "token").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("tokens"))
-    room = F.greatest(F.lit(0), F.size("tokens") - (MATCHES - 1))  # pairs of one class alone come first in the prefix
+    room = F.greatest(F.lit(0), F.size("tokens") - (matches - 1))  # pairs of one class alone come first in the prefix
     return (
-        held.where(F.size("tokens") >= MATCHES)
+        held.where(F.size("tokens") >= matches)
         .withColumn("weight", F.aggregate("tokens", F.lit(0).cast("bigint"), lambda s, t: s + t["n"]))
         .select("class", "weight", F.explode(F.slice("tokens", 1, room)).alias("t"))
         .select(F.col("t.token").alias("token"), "class", "weight")
@@ -111,7 +123,7 @@ def postings(classes: DataFrame) -> DataFrame:
 def alike(percent: int):
     """Whether size and signature leave a pair of classes a chance: n_a, minima_a against n_b, minima_b."""
     agreeing = F.size(F.filter(F.zip_with("minima_a", "minima_b", lambda x, y: x == y), lambda same: same))
-    return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (agreeing >= MATCHES)
+    return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (agreeing >= matches_of(percent))
 
 
 def sided(df: DataFrame, side: str, *names: str) -> DataFrame:
@@ -170,7 +182,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # One document stands for each distinct set; the smallest id names the class.
     classes = known.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key", "n_shingles", "minima")).alias("r"))
     classes = saved(classes.select("set_key", F.col("r.doc_id").alias("class"), F.col("r.text_key").alias("text_key"), F.col("r.n_shingles").alias("n"), F.col("r.minima").alias("minima")))
-    posted = saved(postings(classes))
+    posted = saved(postings(classes, matches_of(percent)))
     slim = classes.drop("set_key").join(posted.select("class").distinct(), "class", "left_semi")
     texts_of = docs.select(F.col("doc_id").alias("class"), F.xxhash64("text").alias("text_key"), "text")
     reps = saved(texts_of.join(slim.select("class", "text_key", "n"), ["class", "text_key"]).dropDuplicates(["class", "text_key"]).select("class", "n", "text"))
