@@ -21,7 +21,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove repeated lines; a document that loses all of them is a copy and goes."""
-    done = linedup.dedup_lines(docs).where("lines.n_removed < lines.n_lines or lines.n_lines = 0")
+    done = linedup.dedup_lines(docs, min_words=0).where("lines.n_removed < lines.n_lines or lines.n_lines = 0")
     done = done.select("row.*", F.col("lines.text").alias("_text"))
     return replaced(done, docs.columns, "_text")
 

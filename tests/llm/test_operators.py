@@ -342,6 +342,15 @@ def test_lines_by_force(docs, empty):
     assert linedup.dedup_lines(empty).count() == 0
 
 
+def test_short_and_unspaced_windows_go(spark, tmp_path):
+    rows = [(1, "Yes. No. Maybe. First own line here."), (2, "Second own line here.\nYes. No. Maybe."), (3, "今天天气很好\n我们去公园\n然后回家\n第三"), (4, "第四\n今天天气很好\n我们去公园\n然后回家"), (5, "one\none\none\none")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {1: rows[0][1], 2: "Second own line here.", 3: rows[2][1], 4: "第四", 5: "one"}
+    assert {r.doc_id: r.text.strip() for r in queries.op9_line_dedup(spark, str(tmp_path)).collect()} == want
+    assert {r.doc_id: r.text.strip() for r in corpus_pipeline.line_stage(spark, df, SF).collect()} == want
+
+
 # --- vectors ---------------------------------------------------------------------------------------
 
 

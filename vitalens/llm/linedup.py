@@ -2,8 +2,9 @@
 
 A text is cut into lines at line ends and, because prose often has a whole paragraph on
 a line, after sentence ends (". ", "! ", "? ") as well.  Blank lines are passed over.
-Each run of WINDOW consecutive lines of at least MIN_WORDS words is a window; a text of
-fewer lines is one window.  The document of the smallest id keeps a window and within it
+Each run of WINDOW consecutive lines is a window; a text of fewer lines is one window.
+Windows of fewer than `min_words` words are passed over; the query and the pipeline ask
+for 0, so none are.  The document of the smallest id keeps a window and within it
 the first place; all later occurrences are covered, and the lines that any covered window
 touches are removed.
 

@@ -70,7 +70,7 @@ def op8_quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, d: str) -> DataFrame:
-    done = linedup.dedup_lines(table(spark, d, "documents").select("doc_id", "text"))
+    done = linedup.dedup_lines(table(spark, d, "documents").select("doc_id", "text"), min_words=0)
     return done.select(F.col("row.doc_id").alias("doc_id"), "lines.n_lines", "lines.n_removed", F.col("lines.text").alias("text"))
 
 
