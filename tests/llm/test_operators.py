@@ -289,6 +289,15 @@ def test_given_pages_against_a_plain_reading(spark):
         assert got[x.page_id] == "\n\n".join(t for p in parts if (t := " ".join(html.unescape(p).split())))
 
 
+def test_all_content_of_a_page_is_read():
+    two = "<main><article><p>first part of it</p></article><div class=ad>buy</div><article><h2>Two</h2><p>second</p></article></main>"
+    assert wrappers.main_text(two, None) == "first part of it\n\nTwo\n\nsecond"
+    teaser = "<main><h1>Head</h1><p>the long text of the page</p><article class=teaser><p>card</p></article><p>and its end</p></main>"
+    assert wrappers.main_text(teaser, None) == "Head\n\nthe long text of the page\n\ncard\n\nand its end"
+    beside = "<main><p>the long text of the page</p></main><article class=teaser><p>card</p></article>"
+    assert wrappers.main_text(beside, None) == "the long text of the page"
+
+
 # --- quality ---------------------------------------------------------------------------------------
 
 
