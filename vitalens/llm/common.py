@@ -9,7 +9,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vitalens.session import checkpoint_folder
@@ -36,6 +37,34 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: list, name: str = "number") -> DataFrame:
+    """The rows of df with their place, from 1, in a global order.
+
+    A range-partitioned sort places a row within its partition; the partitions' sizes, one
+    row for each, say how many rows come before it.  No task sees more than its share, and
+    rows of equal keys are dealt apart by the place they came from.
+    """
+    spread = df.withColumn("_tie", F.monotonically_increasing_id()).orderBy(*order, "_tie").drop("_tie")
+    placed = saved(spread.withColumn("_place", F.monotonically_increasing_id()))
+    part, within = F.shiftright("_place", 33), F.col("_place").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")
+    ahead = sizes.select("_part", before.alias("_before"))
+    return placed.withColumn("_part", part).join(ahead, "_part").withColumn(name, F.col("_before") + within + 1).drop("_part", "_before", "_place")
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Smaller batches of about `limit` bytes in a string column, or of one row that holds more."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.binary())), 0).to_numpy(zero_copy_only=False)
+        ends, start = np.cumsum(lengths), 0
+        while start < batch.num_rows:
+            done = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, done + limit, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def arrow_map(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     return df.mapInArrow(work, schema)
 

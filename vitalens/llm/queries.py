@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalens.llm import ann, contamination, langid, licenses, linedup, neardup, pieces, quality, tokens, wrappers
+from vitalens.llm import ann, contamination, importance, langid, licenses, linedup, mixing, neardup, pieces, quality, runs, tokens, wrappers
 from vitalens.llm.common import table
+from vitalens.llm.sql import SQL as NEW_SQL
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -79,7 +80,36 @@ def op10_nearest_vectors(spark: SparkSession, d: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_near_duplicates, op4_language, op5_licenses, op6_decontamination, op7_main_text, op8_quality, op9_line_dedup, op10_nearest_vectors)}
+def op11_source_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixed(table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    found = runs.periodic_runs(docs.select("doc_id", runs.repeated_tails(docs.text, docs.doc_id).alias("text")))
+    every = F.col("periodic.runs")
+    # Lengths per period are compared by products, exactly; runs come by start, then period, and the first of equals stays.
+    none = F.struct(*[F.lit(None).cast("bigint").alias(c) for c in ("start", "length", "period")])
+    best = F.aggregate(every, none, lambda a, r: F.when(a.length.isNull() | (r.length * a.period > a.length * r.period), r).otherwise(a))
+    lines = F.array_join(F.transform(every, lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))), "")
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        F.size(every).cast("bigint").alias("n_runs"),
+        best.start.alias("start"),
+        best.length.alias("length"),
+        best.period.alias("period"),
+        F.call_function("div", best.length * 1000, best.period).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2(F.col("periodic.collapsed"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_importance_resampling(spark: SparkSession, d: str) -> DataFrame:
+    drawn = importance.resampled(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_near_duplicates, op4_language, op5_licenses, op6_decontamination, op7_main_text, op8_quality, op9_line_dedup, op10_nearest_vectors, op11_source_mix, op12_periodic_runs, op13_importance_resampling)}
 
 #: Places of windows by a join of word runs of each window's length, then the words they cover.
 OP6_SQL = r"""
@@ -112,4 +142,4 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as big
   cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from worded left join hits using (r) left join found using (r) where kind = 'd'
 """
-SQL: dict[str, str] = {"op6_decontamination": OP6_SQL}
+SQL: dict[str, str] = {"op6_decontamination": OP6_SQL} | NEW_SQL
