@@ -269,6 +269,20 @@ def test_importance_by_force(spark, docs, most, buckets, least, percent):
     assert sorted(str((r.doc_id, r.n_features, r.weight, r.score, r["rank"])) for r in got) == drawn_by_force(rows, target, most, buckets, least, percent)
 
 
+@pytest.mark.parametrize("kind", ["string", "large_string"])
+def test_words_of_slices(kind):
+    import pyarrow as pa
+
+    texts = [f"{i} é{i} Ñandú, ÷x" if i % 7 else None for i in range(200)]
+    column = pa.array(texts, pa.string()).cast(kind)
+    for start, n in ((0, 200), (150, 50), (13, 7), (199, 1), (5, 0)):
+        for part in (column.slice(start, n), pa.array(texts, pa.string()).slice(start, n).cast(kind)):
+            sizes, words = importance.words_of(part)
+            want = [features(t)[0] for t in texts[start : start + n]]
+            assert sizes.tolist() == [len(w) for w in want]
+            assert words.cast(pa.binary()).to_pylist() == [x for w in want for x in w]
+
+
 def test_importance_without_rows(spark, docs, empty):
     goal = spark.createDataFrame([("two words",)], "text string")
     assert importance.resampled(empty, goal).count() == 0

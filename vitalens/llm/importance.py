@@ -38,7 +38,9 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 def words_of(column: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
     """How many words each text of a column has, and all words in order, as a dictionary array."""
-    lowered = pc.ascii_lower(pc.fill_null(column.cast(pa.large_string()), ""))
+    # The kernels get buffers of their own: ascii_lower misreads those of a slice that was cast.
+    own = column.take(pa.array(np.arange(len(column))))
+    lowered = pc.ascii_lower(pc.fill_null(own, ""))
     lists = pc.split_pattern_regex(lowered, SEPARATORS)
     flat = pc.list_flatten(lists)
     held = pc.not_equal(flat, "")  # a separator at either end leaves an empty piece
