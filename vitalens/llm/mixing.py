@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from vitalens.llm.common import numbered, saved
 
 WEIGHTS, MAX_EPOCHS, SEED = (5, 2, 1), 3, 17
-LEVELS, BITS = 3, 16
+LEVELS, BITS = 4, 12
 WORD = r"[^\x20\x09-\x0D]+"
 
 
