@@ -81,6 +81,14 @@ SQL: dict[str, str] = {
         "projections",
         f"SELECT doc_id, {round1('overall')} AS overall, projected_score, projected_score > overall + 0.5 AS show_projection FROM projections",
     ),
+    "snk1_stored_reviews": cv_sql(
+        "prios",
+        """SELECT s.doc_id, 'complete' AS status, CAST(NULL AS VARCHAR) AS error, s.overall, s.band,
+          (SELECT count(*) FROM findings f WHERE f.doc_id = s.doc_id) AS n_findings,
+          (SELECT count(*) FROM cats c WHERE c.doc_id = s.doc_id) AS n_categories,
+          (SELECT count(*) FROM prios p WHERE p.doc_id = s.doc_id) AS n_priorities
+        FROM scores s""",
+    ),
     "ag5_snapshot": cv_sql(
         "times",
         """SELECT d.doc_id,

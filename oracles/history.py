@@ -22,6 +22,7 @@ _VIEWS = [
              (SELECT max_by(b.review_id, (b.created_at, b.review_id)) FROM days_done b WHERE b.owner_id = c.owner_id AND b.created_at < c.created_at)) AS baseline_id
            FROM days_done c) WHERE baseline_id IS NOT NULL""",
     ),
+    ("days_left", "SELECT * FROM days WHERE NOT ends_with(owner_id, '3') AND NOT ends_with(doc_id, '8') AND NOT ends_with(review_id, '-05')"),
     (
         "cat_scores",
         f"""SELECT d.review_id, c.category, greatest(0.0, least(100.0, 100.0 - coalesce(sum(f.penalty), 0.0))) AS score
@@ -34,12 +35,13 @@ _VIEWS = [
           {round1('CAST(a.score - b.score AS DOUBLE)')} AS delta
         FROM pairs p JOIN cat_scores a ON a.review_id = p.review_id JOIN cat_scores b ON b.review_id = p.baseline_id AND a.category = b.category""",
     ),
-    ("open_rules", "SELECT DISTINCT review_id, rule_id FROM findings WHERE severity <> 'positive'"),
+    ("open_rules", "SELECT DISTINCT review_id, rule_id, severity FROM findings WHERE severity <> 'positive'"),
     (
         "diff",
-        """SELECT review_id, baseline_id, rule_id, CASE WHEN bool_or(cur) AND bool_or(NOT cur) THEN 'still_open' WHEN bool_or(cur) THEN 'introduced' ELSE 'resolved' END AS change
-         FROM (SELECT p.review_id, p.baseline_id, r.rule_id, true AS cur FROM pairs p JOIN open_rules r ON r.review_id = p.review_id
-               UNION ALL SELECT p.review_id, p.baseline_id, r.rule_id, false FROM pairs p JOIN open_rules r ON r.review_id = p.baseline_id)
+        """SELECT review_id, baseline_id, rule_id, coalesce(any_value(severity) FILTER (cur), any_value(severity)) AS severity,
+           CASE WHEN bool_or(cur) AND bool_or(NOT cur) THEN 'still_open' WHEN bool_or(cur) THEN 'introduced' ELSE 'resolved' END AS change
+         FROM (SELECT p.review_id, p.baseline_id, r.rule_id, r.severity, true AS cur FROM pairs p JOIN open_rules r ON r.review_id = p.review_id
+               UNION ALL SELECT p.review_id, p.baseline_id, r.rule_id, r.severity, false FROM pairs p JOIN open_rules r ON r.review_id = p.baseline_id)
          GROUP BY review_id, baseline_id, rule_id""",
     ),
     (
@@ -124,19 +126,39 @@ SQL: dict[str, str] = {
         FROM (SELECT review_id, CASE review_id % 5 WHEN 0 THEN review_id WHEN 1 THEN -review_id ELSE (review_id * 3) % (SELECT count(*) FROM reviews) END AS baseline_id FROM reviews ) p
         JOIN reviews c ON c.review_id = p.review_id LEFT JOIN reviews b ON b.review_id = p.baseline_id"""
     ),
-    "j7_finding_diff": sql("SELECT review_id, baseline_id, rule_id, change FROM diff "),
+    "j7_finding_diff": sql("SELECT review_id, baseline_id, rule_id, severity, change FROM diff "),
     "j8_category_deltas": sql("SELECT review_id, baseline_id, category, current, baseline, delta FROM cat_deltas "),
     "compare_reviews": sql(
         f"""SELECT p.review_id, p.baseline_id, {round1('a.overall - b.overall')} AS overall_delta,
           (SELECT count(*) FROM cat_deltas c WHERE c.review_id = p.review_id AND c.baseline_id = p.baseline_id) AS n_categories,
-          coalesce((SELECT string_agg(rule_id, ' ~ ' ORDER BY rule_id) FROM diff d WHERE d.review_id = p.review_id AND d.baseline_id = p.baseline_id AND change = 'resolved'), '') AS resolved,
-          coalesce((SELECT string_agg(rule_id, ' ~ ' ORDER BY rule_id) FROM diff d WHERE d.review_id = p.review_id AND d.baseline_id = p.baseline_id AND change = 'introduced'), '') AS introduced,
+          coalesce((SELECT string_agg(rule_id || ':' || severity, ' ~ ' ORDER BY rule_id) FROM diff d WHERE d.review_id = p.review_id AND d.baseline_id = p.baseline_id AND change = 'resolved'), '') AS resolved,
+          coalesce((SELECT string_agg(rule_id || ':' || severity, ' ~ ' ORDER BY rule_id) FROM diff d WHERE d.review_id = p.review_id AND d.baseline_id = p.baseline_id AND change = 'introduced'), '') AS introduced,
           (SELECT count(*) FROM diff d WHERE d.review_id = p.review_id AND d.baseline_id = p.baseline_id AND change = 'still_open') AS still_open
         FROM pairs p JOIN days a ON a.review_id = p.review_id JOIN days b ON b.review_id = p.baseline_id"""
     ),
     "j9_erasure": sql(
-        """SELECT doc_id, count(*) AS n FROM reviews WHERE NOT ends_with(owner_id, '3') AND NOT ends_with(doc_id, '1-2') GROUP BY doc_id"""
-    ),
+        """SELECT 'reviews' AS name, review_id AS id, count(*) AS n FROM days_left GROUP BY review_id
+        UNION ALL SELECT 'docs', doc_id, count(*) FROM docs WHERE NOT ends_with(owner_id, '3') AND doc_id NOT IN (SELECT doc_id FROM days WHERE ends_with(doc_id, '8')) GROUP BY doc_id
+        UNION ALL SELECT 'findings', review_id, count(*) FROM findings WHERE review_id IN (SELECT review_id FROM days_left ) GROUP BY review_id
+        UNION ALL SELECT 'category_scores', review_id, count(*) FROM cat_scores WHERE review_id IN (SELECT review_id FROM days_left ) GROUP BY review_id"""
+    ),
+    "ag_cube": sql(
+        f"""SELECT ai, colour, month, CAST(grouping_id(ai, colour, month) AS INT) AS grouping_id, count(*) AS n, max(overall) AS best,
+          {round1('CAST(sum(CAST(overall AS DECIMAL(20,6))) AS DOUBLE) / count(*)')} AS mean, true AS documents_near
+        FROM (SELECT *, ai_review IS NOT NULL AS ai, strftime(created_at, '%Y-%m') AS month,
+                CASE WHEN overall >= 85 THEN 'green' WHEN overall >= 55 THEN 'amber' ELSE 'red' END AS colour FROM done ) x
+        GROUP BY CUBE (ai, colour, month)"""
+    ),
+    "st3_distinct_uploads": "SELECT DISTINCT CAST(user_id AS VARCHAR) AS owner_id, sha256(props) AS text_hash FROM events",
+    # At most one per 30 days, counted from the one that was kept.
+    "st3_batch_uploads": """WITH RECURSIVE e AS MATERIALIZED (
+          SELECT user_id, props, event_id, ts, row_number() OVER (PARTITION BY user_id, props ORDER BY ts, event_id) AS rn FROM events),
+        walk AS (
+          SELECT user_id, props, event_id, rn, ts AS held, true AS kept FROM e WHERE rn = 1
+          UNION ALL
+          SELECT e.user_id, e.props, e.event_id, e.rn, CASE WHEN e.ts > w.held + INTERVAL 30 DAY THEN e.ts ELSE w.held END, e.ts > w.held + INTERVAL 30 DAY
+          FROM walk w JOIN e ON e.user_id = w.user_id AND e.props = w.props AND e.rn = w.rn + 1)
+        SELECT CAST(user_id AS VARCHAR) AS owner_id, event_id FROM walk WHERE kept""",
     "p10_role_fallback": sql(
         "SELECT r.review_id, coalesce(nullif(r.target_role, ''), o.target_role) AS target_role FROM reviews r LEFT JOIN owners o ON r.owner_id = o.owner_id"
     ),

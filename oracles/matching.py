@@ -142,8 +142,8 @@ ALIAS_STEPS = [
 ]
 
 
-def match_steps(t: str, f: str, requests: str) -> list[tuple[str, str]]:
-    """Terms ``t``terms against forms ``f``forms for pairs in ``requests``."""
+def spelled_steps(t: str) -> list[tuple[str, str]]:
+    """The forms of ``t``terms, aliases among them."""
     return ALIAS_STEPS + [
         ("canon", f"SELECT x.posting_id, x.rank, x.key, x.term, x.weight, coalesce(a.canonical, x.term) AS canonical FROM {t}terms x LEFT JOIN aliases a ON a.alias = x.term"),
         (
@@ -155,6 +155,12 @@ def match_steps(t: str, f: str, requests: str) -> list[tuple[str, str]]:
                UNION ALL SELECT posting_id, rank, a.alias FROM canon c JOIN aliases a ON a.canonical = c.canonical
                UNION ALL SELECT posting_id, rank, n.key FROM canon c JOIN aliases a ON a.canonical = c.canonical JOIN lex_names n ON n.name = a.alias)""",
         ),
+    ]
+
+
+def match_steps(t: str, f: str, requests: str) -> list[tuple[str, str]]:
+    """Terms ``t``terms against forms ``f``forms for pairs in ``requests``."""
+    return spelled_steps(t) + [
         ("requests", requests),
         (
             "found",
@@ -199,6 +205,20 @@ _CV_MATCH = (
     + match_steps("p_", "d_", _CV_REQUESTS)
 )
 
+
+
+def best_sql(per: str, k: int) -> str:
+    """The k best pairs of each ``per`` among all that share a form."""
+    other = "posting_id" if per == "doc_id" else "doc_id"
+    return f"""SELECT doc_id, posting_id, coverage, rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY {per} ORDER BY coverage DESC, {other}) AS rank FROM (
+          SELECT m.doc_id, m.posting_id, round(CAST(sum(x.weight) AS DOUBLE) / CAST(any_value(w.total) AS DOUBLE), 4) AS coverage
+          FROM (SELECT DISTINCT v.doc_id, t.posting_id, t.rank FROM d_forms v JOIN term_forms t ON v.form = t.form) m
+          JOIN p_terms x ON x.posting_id = m.posting_id AND x.rank = m.rank
+          JOIN (SELECT posting_id, sum(weight) AS total FROM p_terms GROUP BY posting_id) w ON w.posting_id = m.posting_id
+          GROUP BY m.doc_id, m.posting_id)) WHERE rank <= {k}"""
+
+
 _KW_FINDINGS = """SELECT c.*, s.skills_words > 0 AS has_skills FROM coverages c JOIN structure s ON c.doc_id = s.doc_id"""
 _KW = [
     ("kw_base", _KW_FINDINGS),
@@ -265,6 +285,15 @@ SQL: dict[str, str] = {
         + match_steps("p_", "d_", _DOC_REQUESTS),
         f"SELECT doc_id, posting_id, coverage, matched_count, total_count, {joined('missing[1:8]')} AS top_missing FROM coverages",
     ),
+    "k12_best_postings": cv_sql(
+        "docs",
+        best_sql("doc_id", 5),
+        _CVPOST + term_steps("p_src", "p_") + token_steps("docs", "doc_id", "d_") + [forms_step("d_")] + spelled_steps("p_"),
+    ),
+    "k12_best_documents": with_sql(
+        _DOCS + _POST + term_steps("p_src", "p_") + token_steps("d_src", "doc_id", "d_") + [forms_step("d_")] + spelled_steps("p_"),
+        best_sql("posting_id", 10),
+    ),
     "rules_keywords": cv_sql(
         "structure",
         f"SELECT doc_id, rule_id, severity, CAST(penalty AS DOUBLE) AS penalty, {joined('ev')} AS evidence, section FROM kw_findings",

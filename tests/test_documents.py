@@ -126,6 +126,58 @@ def test_own_rule_and_undecided_rule(docs_of):
     assert r.rule_errors == ["custom.broken"] and r.overall > 0
 
 
+def _exploding_catalogue():
+    """The catalogue with rules that raise errors, each in another part."""
+    zero = lambda v: F.lit(1) / (F.size(v["contact"]["emails"]) - F.size(v["contact"]["emails"]))
+    name = lambda v: v["contact"]["name"]
+    cat = ru.document_catalogue()
+    for rule in (
+        ru.Rule("custom.divides", "critical", 50, lambda v: zero(v) > 1, category="ats"),
+        ru.Rule("custom.casts", "warning", lambda v: name(v).cast("int"), lambda v: F.lit(True), category="impact"),
+        ru.Rule("custom.raises", "warning", 3, lambda v: F.lit(True), lambda v: F.array(F.raise_error(name(v)).cast("string")), category="impact"),
+        ru.Rule("custom.sound", "suggestion", 2, lambda v: F.coalesce(F.length(name(v)), F.lit(0)) >= 0, category="contact"),
+    ):
+        cat = cat.register(rule)
+    return cat
+
+
+def test_a_rule_that_raises_fails_alone(docs_of):
+    docs = docs_of(STRONG_CV, WEAK_CV, "1234\nnothing else here")
+    plain = {r.doc_id: r for r in corpus.score_corpus(docs, TODAY).collect()}
+    reviews = corpus.score_corpus(docs, TODAY, catalogue=_exploding_catalogue())
+    got = {r.doc_id: r for r in reviews.collect()}
+    assert got[0].rule_errors == ["custom.divides", "custom.casts", "custom.raises"]
+    for i, r in got.items():
+        others = [f for f in r.findings if not f.rule_id.startswith("custom.")]
+        assert others == plain[i].findings and "custom.sound" in {f.rule_id for f in r.findings}
+    rows = {(r.doc_id, r.rule_id) for r in corpus.errors_table(reviews, "doc_id").collect()}
+    assert {(0, "custom.casts"), (1, "custom.divides"), (2, "custom.raises")} <= rows
+    assert not any(rule == "custom.sound" for _, rule in rows)
+
+
+def test_an_unguarded_rule_ends_the_job(docs_of):
+    broken = ru.Rule("custom.raises", "warning", 3, lambda v: F.raise_error(F.lit("boom")).cast("boolean"), category="ats")
+    cat = ru.document_catalogue().register(broken, guarded=False)
+    with pytest.raises(Exception, match="boom"):
+        corpus.score_corpus(docs_of(STRONG_CV), TODAY, catalogue=cat).collect()
+
+
+def test_failed_documents_are_stored_as_failed(spark, docs_of, tmp_path):
+    from vitalens.sources import sinks
+
+    whole = ru.Rule("custom.raises", "warning", 3, lambda v: F.when(v["contact"]["name"] == "Dana Whitfield", F.raise_error(F.lit("boom")).cast("boolean")), category="ats")
+    cat = ru.document_catalogue().register(whole, guarded=False)
+    docs = docs_of(STRONG_CV, WEAK_CV, None)
+    reviews = corpus.score_corpus(docs, TODAY, catalogue=cat, guarded=True)
+    sinks.write_reviews(reviews, str(tmp_path), TODAY, run_id="r")
+    stored = {r.doc_id: r for r in spark.read.parquet(f"{tmp_path}/reviews").collect()}
+    assert {i: r.status for i, r in stored.items()} == {0: "failed", 1: "complete", 2: "failed"}
+    assert all((r.overall is None) == (r.band is None) == (r.error is not None) == (r.status == "failed") for r in stored.values())
+    for child in ("findings", "category_scores", "priorities"):
+        assert {r.doc_id for r in spark.read.parquet(f"{tmp_path}/{child}").collect()} == {1}
+    assert stored[1].overall == corpus.score_corpus(docs, TODAY).filter("doc_id = 1").first().overall
+
+
 def test_whole_word_option(spark):
     df = spark.createDataFrame([("photography and photo.",), ("photography",)], "t string")
     hits = [r.h for r in df.select(ft.phrase_hits(F.col("t"), ["photo"], word_boundary=True).alias("h")).collect()]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vitalens.functions import text as tx
 from vitalens.functions.core import round1
-from vitalens.sources import ingest
+from vitalens.sources import ingest, sinks
 
 
 def one(spark, value, fn, kind="string"):
@@ -106,3 +106,38 @@ def test_ingest_splits_files(spark, tmp_path):
         "e.png": "unsupported_type", "f.pdf": "needs_text_extraction", "noext": "unsupported_type",
         "big.txt": "too_large",
     }
+
+
+def _uploads(folder):
+    good = "A line of readable text.\n" * 10
+    for name, data in {"a.txt": good.encode(), "b.doc": b"x" * 500, "d.txt": b"too short", "u.md": good.encode("utf-16")}.items():
+        (folder / name).write_bytes(data)
+    with open(folder / "huge.txt", "wb") as f:
+        f.truncate(3 << 30)  # sparse; Spark's file source cannot read files beyond 2 GiB at all
+    return {"accepted": 2, "legacy_format": 1, "almost_no_text": 1, "too_large": 1}
+
+
+def test_uploads_are_stored_in_one_pass_and_oversize_files_stay_closed(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    want = _uploads(tmp_path / "in")
+    marked = ingest.mark(ingest.read_files(spark, str(tmp_path / "in")))
+    for _ in range(2):  # a repeat replaces its run
+        counts = sinks.write_uploads(marked, str(tmp_path / "out"), "r1")
+    assert {k: n for k, n in counts.items() if n} == want
+    stored = sinks.read_uploads(spark, str(tmp_path / "out"), "r1")
+    docs = ingest.accepted_of(stored.filter("accepted")).collect()
+    assert sorted((r.filename, r.codec) for r in docs) == [("a.txt", "utf-8"), ("u.md", "utf-16le")]
+    assert {r.text for r in docs} == {("A line of readable text.\n" * 10).strip()}
+    assert {r.path.rsplit("/", 1)[-1]: r.reject_reason for r in ingest.rejected_of(stored).collect()} == {
+        "b.doc": "legacy_format", "d.txt": "almost_no_text", "huge.txt": "too_large",
+    }
+
+
+def test_ingest_reads_contents_in_one_scan(spark, tmp_path):
+    _uploads(tmp_path)
+    plan = ingest.mark(ingest.read_files(spark, str(tmp_path)))._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line or "BinaryFile" in line]
+    with_content = [line for line in scans if "content" in line.split("Batched")[0]]
+    assert len(scans) == 2 and len(with_content) == 1
+    assert "LessThanOrEqual(length,5242880)" in with_content[0]
+    assert plan.count("sha2(") <= 3 and "Exchange" not in plan

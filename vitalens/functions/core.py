@@ -43,6 +43,29 @@ def let_struct(body: Callable[[Column], Column], **values: Column) -> Column:
     return let(F.struct(*[v.alias(k) for k, v in values.items()]), body)
 
 
+def is_sound(value: Column) -> Column:
+    """Whether ``value`` can be computed at all: false where its evaluation raises an error.
+
+    Every part of the value is evaluated (it is hashed) as the argument of a ``try_``
+    function, which turns an error anywhere below it into null.  This stands inside ``let``, out
+    of which Spark moves no common parts of expressions; else one could raise outside of the
+    ``try_``.  Errors of Python functions are not caught, as these run outside of the expression.
+    """
+    probe = F.try_to_binary(F.xxhash64(value).cast("string"), F.lit("utf-8")).isNotNull()
+    return let(F.lit(True), lambda _: probe)
+
+
+Add = Callable[[DataFrame, dict[str, Column]], DataFrame]
+
+
+def add_sound(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``withColumns`` for columns that may raise errors: these are null then, and ``_sound`` is unset."""
+    sound = F.col("_sound")
+    for c in columns.values():
+        sound = sound & is_sound(c)
+    return df.withColumns({n: F.when(is_sound(c), c) for n, c in columns.items()} | {"_sound": sound})
+
+
 def words_array(words: list[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 

@@ -12,6 +12,7 @@ from vitalens.functions.core import (
     WB_LEFT,
     WB_RIGHT,
     WORD,
+    Add,
     WS,
     built_once,
     empty_strings,
@@ -305,14 +306,13 @@ def doc_ranges() -> Column:
     return date_ranges(F.col("text"), F.col("secs"))
 
 
-def parse(docs: DataFrame) -> DataFrame:
+def parse(docs: DataFrame, add: Add = DataFrame.withColumns) -> DataFrame:
     """Documents with nested ``secs``, ``contact``, ``bullets`` and ``ranges``.
 
     Each is a narrow expression; what a caller does not select is pruned.
     """
-    return docs.withColumn("secs", sx.doc_sections()).withColumns(
-        {"contact": doc_contact(), "bullets": doc_bullets(), "ranges": doc_ranges()}
-    )
+    cut = add(docs, {"secs": sx.doc_sections()})
+    return add(cut, {"contact": doc_contact(), "bullets": doc_bullets(), "ranges": doc_ranges()})
 
 
 def contacts_table(docs: DataFrame) -> DataFrame:

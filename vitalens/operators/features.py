@@ -13,6 +13,7 @@ from vitalens.functions.core import (
     WB_LEFT,
     WB_RIGHT,
     WORD,
+    Add,
     WS,
     YEAR,
     built_once,
@@ -360,9 +361,9 @@ def _feature_columns(today: date) -> tuple[dict[str, Column], ...]:
     )
 
 
-def profile(docs: DataFrame, today: date) -> DataFrame:
+def profile(docs: DataFrame, today: date, add: Add = DataFrame.withColumns) -> DataFrame:
     """docs (doc_id, text[, layout]) with nested facts and features; no shuffle."""
-    out = fx.parse(docs.withColumn("layout", layout_of(docs)))
+    out = fx.parse(add(docs, {"layout": layout_of(docs)}), add)
     for columns in _feature_columns(today):
-        out = out.withColumns(columns)
+        out = add(out, columns)
     return out

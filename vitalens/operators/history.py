@@ -12,7 +12,7 @@ from vitalens import lexicon as lx
 from vitalens.functions.core import round1
 from vitalens.operators import ordered
 
-COMPLETE = "complete"
+COMPLETE, FAILED = "complete", "failed"
 TREND_LENGTH = 50
 
 
@@ -110,6 +110,12 @@ def owner_stats(reviews: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
+def _document_keys(*tables: DataFrame) -> list[str]:
+    """What names a document in all tables: its owner too where they carry it, so that tables
+    stored by owner are grouped and joined in place."""
+    return [c for c in ("owner_id", "doc_id") if all(c in t.columns for t in tables)]
+
+
 def review_counts(reviews: DataFrame) -> DataFrame:
     """(doc_id, review_count, last_review_at), every status."""
     return reviews.groupBy("doc_id").agg(
@@ -127,12 +133,11 @@ def latest_scores(reviews: DataFrame) -> DataFrame:
 
 
 def decorate(docs: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Documents with review count and latest score."""
-    return (
-        docs.join(review_counts(reviews).drop("last_review_at"), "doc_id", "left")
-        .join(latest_scores(reviews), "doc_id", "left")
-        .withColumn("review_count", F.coalesce("review_count", F.lit(0)))
-    )
+    """Documents with review count and latest score, in one pass over the reviews."""
+    keys = _document_keys(docs, reviews)
+    newest = F.max_by("overall", F.when(is_complete(), F.struct("created_at", "review_id")))
+    known = reviews.groupBy(*keys).agg(F.count("review_id").alias("review_count"), newest.alias("latest_score"))
+    return docs.join(known, keys, "left").withColumn("review_count", F.coalesce("review_count", F.lit(0)))
 
 
 def document_deltas(reviews: DataFrame) -> DataFrame:
@@ -290,90 +295,6 @@ def check_pairs(pairs: DataFrame, reviews: DataFrame) -> DataFrame:
     )
 
 
-def finding_diff(pairs: DataFrame, findings: DataFrame) -> DataFrame:
-    """(review_id, baseline_id, rule_id, change) with change resolved, introduced or still_open."""
-    open_rules = (
-        findings.filter(F.col("severity") != "positive").select("review_id", "rule_id").distinct()
-    )
-    now = pairs.join(open_rules, "review_id").select(
-        "review_id", "baseline_id", "rule_id", F.lit(True).alias("now")
-    )
-    before = pairs.join(
-        open_rules.withColumnRenamed("review_id", "baseline_id"), "baseline_id"
-    ).select("review_id", "baseline_id", "rule_id", F.lit(True).alias("before"))
-    return now.join(before, ["review_id", "baseline_id", "rule_id"], "full_outer").select(
-        "review_id",
-        "baseline_id",
-        "rule_id",
-        F.when(F.col("before").isNull(), "introduced")
-        .when(F.col("now").isNull(), "resolved")
-        .otherwise("still_open")
-        .alias("change"),
-    )
-
-
-def category_deltas(pairs: DataFrame, scores: DataFrame) -> DataFrame:
-    """Score change per category both reviews are scored on."""
-    usable = scores.filter("applicable").select("review_id", "category", "score")
-    cur = usable.withColumnRenamed("score", "current")
-    base = usable.select(
-        F.col("review_id").alias("baseline_id"), "category", F.col("score").alias("baseline")
-    )
-    return (
-        pairs.join(cur, "review_id")
-        .join(base, ["baseline_id", "category"])
-        .select(
-            "review_id",
-            "baseline_id",
-            "category",
-            round1(F.col("current")).alias("current"),
-            round1(F.col("baseline")).alias("baseline"),
-            round1(F.col("current") - F.col("baseline")).alias("delta"),
-        )
-    )
-
-
-def compare(
-    reviews: DataFrame, scores: DataFrame, findings: DataFrame, pairs: DataFrame
-) -> DataFrame:
-    """One row per pair: overall delta, category deltas, resolved, introduced, still_open."""
-    overall = reviews.select("review_id", "overall")
-    diff = (
-        finding_diff(pairs, findings)
-        .groupBy("review_id", "baseline_id")
-        .agg(
-            F.array_sort(F.collect_list(F.when(F.col("change") == "resolved", F.col("rule_id")))).alias("resolved"),
-            F.array_sort(F.collect_list(F.when(F.col("change") == "introduced", F.col("rule_id")))).alias("introduced"),
-            F.count_if(F.col("change") == "still_open").alias("still_open"),
-        )
-    )
-    cats = (
-        category_deltas(pairs, scores)
-        .groupBy("review_id", "baseline_id")
-        .agg(F.array_sort(F.collect_list(F.struct("category", "current", "baseline", "delta"))).alias("categories"))
-    )
-    return (
-        pairs.join(overall, "review_id")
-        .join(
-            overall.select(
-                F.col("review_id").alias("baseline_id"), F.col("overall").alias("baseline_overall")
-            ),
-            "baseline_id",
-        )
-        .join(diff, ["review_id", "baseline_id"], "left")
-        .join(cats, ["review_id", "baseline_id"], "left")
-        .select(
-            "review_id",
-            "baseline_id",
-            round1(F.col("overall") - F.col("baseline_overall")).alias("overall_delta"),
-            "categories",
-            F.coalesce("resolved", F.array().cast("array<string>")).alias("resolved"),
-            F.coalesce("introduced", F.array().cast("array<string>")).alias("introduced"),
-            F.coalesce("still_open", F.lit(0)).alias("still_open"),
-        )
-    )
-
-
 # --- findings views --------------------------------------------------------------------------------
 
 
@@ -451,27 +372,67 @@ def findings_digest(findings: DataFrame, limit: int = 12) -> DataFrame:
 # --- erasure -----------------------------------------------------------------------------------------
 
 
+CHILDREN = ("findings", "category_scores", "priorities", "match_terms")
+
+
+def erased_reviews(reviews: DataFrame, erased: DataFrame) -> DataFrame:
+    """The reviews that go: of erased owners, of erased documents, and erased themselves."""
+    gone = None
+    for kind, column in (("owner", "owner_id"), ("document", "doc_id"), ("review", "review_id")):
+        if column in reviews.columns:
+            ids = erased.filter(F.col("kind") == kind).select(F.col("id").cast(reviews.schema[column].dataType).alias(column))
+            lost = reviews.join(ids.distinct(), column, "left_semi")
+            gone = lost if gone is None else gone.unionByName(lost)
+    return gone.dropDuplicates(["review_id"])
+
+
 def erase(tables: dict[str, DataFrame], erased: DataFrame) -> dict[str, DataFrame]:
     """Remove erased owners and documents with everything that depends on them.
 
-    ``erased`` holds (kind, id) with kind owner, document or review.
+    ``erased`` holds (kind, id) with kind owner, document or review.  ``sinks.erase_stored``
+    does the same to stored tables.
     """
 
     def ids(kind: str, name: str) -> DataFrame:
         return erased.filter(F.col("kind") == kind).select(F.col("id").alias(name)).distinct()
 
     out = dict(tables)
-    owners, docs, reviews = ids("owner", "owner_id"), ids("document", "doc_id"), ids("review", "review_id")
-    gone = tables["reviews"].join(reviews, "review_id", "left_semi").select("review_id")
-    for column, lost in (("owner_id", owners), ("doc_id", docs)):
-        if column in tables["reviews"].columns:
-            gone = gone.union(tables["reviews"].join(lost, column, "left_semi").select("review_id"))
     for name in ("owners", "docs"):
-        for column, lost in (("owner_id", owners), ("doc_id", docs)):
+        for kind, column in (("owner", "owner_id"), ("document", "doc_id")):
             if name in out and column in out[name].columns:
-                out[name] = out[name].join(lost, column, "left_anti")
-    gone = gone.distinct()
-    for name in ("reviews", "findings", "category_scores", "priorities", "match_terms"):
+                out[name] = out[name].join(ids(kind, column), column, "left_anti")
+    gone = erased_reviews(tables["reviews"], erased).select("review_id")
+    for name in ("reviews", *CHILDREN):
         if name in out:
             out[name] = out[name].join(gone, "review_id", "left_anti")
     return out
+
+
+# --- cubes -----------------------------------------------------------------------------------------
+
+SKETCH_K = 12  # 2^12 registers: the estimate of distinct documents has a standard error of 1.6 %
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_K / 2)
+
+
+def review_cube(reviews: DataFrame, dimensions: list[str]) -> DataFrame:
+    """All groupings of complete reviews by ``dimensions``: (dimensions, grouping_id, n, best, mean, documents).
+
+    Reviews are counted at the finest grain first, with a mergeable sketch of their documents; the
+    cube repeats these few rows for its groupings, not the reviews.  A bit of grouping_id is set
+    for each dimension that is summed over, the first dimension's the highest.  ``documents`` is
+    an estimate with a relative standard error of SKETCH_ERROR.
+    """
+    grain = completed(reviews).groupBy(*dimensions).agg(
+        F.count("*").alias("n"),
+        F.max("overall").alias("best"),
+        F.sum(F.col("overall").cast("decimal(20,6)")).alias("total"),
+        F.hll_sketch_agg(F.col("doc_id").cast("string"), F.lit(SKETCH_K)).alias("sketch"),
+    )
+    cube = grain.cube(*dimensions).agg(
+        F.grouping_id().cast("int").alias("grouping_id"),
+        F.sum("n").alias("n"),
+        F.max("best").alias("best"),
+        (F.sum("total").cast("double") / F.sum("n")).alias("mean"),
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("documents"),
+    )
+    return cube

@@ -3,6 +3,10 @@
 A rule is data: an id, a category, a severity and column builders over the
 profile of a document.  All rules of a catalogue are evaluated in one
 projection, so adding a rule never adds a pass over the corpus.
+
+The rules of this module cannot raise errors.  Rules that are registered can: they are
+evaluated in a form that turns an error into a value, so a rule that divides by zero or casts
+badly fails alone and is named in ``rule_errors`` of the documents it failed on.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from pyspark.sql import functions as F
 
 from vitalens import lexicon as lx
 from vitalens.functions import text as tx
-from vitalens.functions.core import built_once, empty_strings, first_of, let, let_struct, most_common
+from vitalens.functions.core import Add, built_once, empty_strings, first_of, is_sound, let, let_struct, most_common
 from vitalens.operators import timeline as tl
 
 EVIDENCE_ITEMS = 5
@@ -30,7 +34,10 @@ Build = Callable[[Column], Column]
 
 @dataclass(frozen=True)
 class Rule:
-    """``when``, ``penalty``, ``severity`` and ``evidence`` receive the profile struct."""
+    """``when``, ``penalty``, ``severity`` and ``evidence`` receive the profile struct.
+
+    A ``guarded`` rule may raise errors; it is evaluated twice.
+    """
 
     rule_id: str
     severity: str | Build
@@ -39,6 +46,7 @@ class Rule:
     evidence: Build | None = None
     category: str = ""
     section: str | None = None
+    guarded: bool = False
 
     def __post_init__(self):
         if not self.category:
@@ -49,9 +57,9 @@ class Rule:
 class Catalogue:
     rules: tuple[Rule, ...] = field(default_factory=tuple)
 
-    def register(self, rule: Rule) -> Catalogue:
-        """A new catalogue with one more rule."""
-        return replace(self, rules=(*self.rules, rule))
+    def register(self, rule: Rule, guarded: bool = True) -> Catalogue:
+        """A new catalogue with one more rule, guarded unless it is known to raise no errors."""
+        return replace(self, rules=(*self.rules, replace(rule, guarded=guarded)))
 
 
 def bounded_evidence(items: Column) -> Column:
@@ -67,6 +75,11 @@ def bounded_evidence(items: Column) -> Column:
 
 
 def _emit_one(rule: Rule, v: Column) -> Column:
+    found = _finding(rule, v)
+    return F.when(is_sound(found), found) if rule.guarded else found
+
+
+def _finding(rule: Rule, v: Column) -> Column:
     severity = F.lit(rule.severity) if isinstance(rule.severity, str) else rule.severity(v)
     penalty = rule.penalty(v) if callable(rule.penalty) else F.lit(float(rule.penalty))
     evidence = bounded_evidence(rule.evidence(v)) if rule.evidence else empty_strings()
@@ -92,10 +105,15 @@ def emit(catalogue: Catalogue, v: Column) -> Column:
     )
 
 
-def undecided(catalogue: Catalogue, v: Column) -> Column:
-    """Ids of rules whose condition came out null; they fail alone, never the document."""
+def failures(catalogue: Catalogue, v: Column) -> Column:
+    """Ids of rules that raised an error or whose condition came out null; they fail alone, never the document."""
+
+    def failed(rule: Rule) -> Column:
+        undecided = rule.when(v).isNull()
+        return F.when(~is_sound(_finding(rule, v)), True).otherwise(undecided) if rule.guarded else undecided
+
     return F.filter(
-        F.array(*[F.when(r.when(v).isNull(), F.lit(r.rule_id)) for r in catalogue.rules]),
+        F.array(*[F.when(failed(r), F.lit(r.rule_id)) for r in catalogue.rules]),
         lambda x: x.isNotNull(),
     )
 
@@ -506,7 +524,7 @@ def _finding_columns(cat: Catalogue) -> tuple[dict[str, Column], ...]:
     return (
         {
             "raw_findings": let_struct(lambda v: emit(cat, v), **parts),
-            "rule_errors": let_struct(lambda v: undecided(cat, v), **parts),
+            "rule_errors": let_struct(lambda v: failures(cat, v), **parts),
         },
         {
             "findings": attribute_sections(
@@ -519,11 +537,13 @@ def _finding_columns(cat: Catalogue) -> tuple[dict[str, Column], ...]:
     )
 
 
-def document_findings(profiled: DataFrame, catalogue: Catalogue | None = None) -> DataFrame:
+def document_findings(
+    profiled: DataFrame, catalogue: Catalogue | None = None, add: Add = DataFrame.withColumns
+) -> DataFrame:
     """Add ``findings`` (attributed) and ``rule_errors`` to a profiled corpus."""
     out = profiled
     for columns in _finding_columns(catalogue or document_catalogue()):
-        out = out.withColumns(columns)
+        out = add(out, columns)
     return out.drop("raw_findings")
 
 

@@ -167,11 +167,13 @@ def _score_columns() -> tuple[dict[str, Column], ...]:
 def score(df: DataFrame) -> DataFrame:
     """Add category_scores, overall, band, priorities, projected_score to rows with findings.
 
-    ``has_posting`` says whether the job-match category applies; absent means no.
+    ``has_posting`` says whether the job-match category applies; absent means no.  Rows without
+    findings (null: the review failed) have no scores.
     """
     out = df if "has_posting" in df.columns else df.withColumn("has_posting", F.lit(False))
+    reviewed = F.col("findings").isNotNull()
     for columns in _score_columns():
-        out = out.withColumns(columns)
+        out = out.withColumns({n: F.when(reviewed, c) for n, c in columns.items()})
     return out
 
 

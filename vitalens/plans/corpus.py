@@ -11,7 +11,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalens.functions.core import built_once, let_struct, unnest
+from vitalens.functions.core import add_sound, built_once, is_sound, let_struct, unnest
 from vitalens.operators import features as ft
 from vitalens.operators import ordered
 from vitalens.operators import rules as ru
@@ -53,20 +53,29 @@ def _section_order() -> Column:
 
 
 def review_documents(
-    docs: DataFrame, today: date, catalogue: ru.Catalogue | None = None
+    docs: DataFrame, today: date, catalogue: ru.Catalogue | None = None, guarded: bool = False
 ) -> DataFrame:
-    """Documents with findings, rule_errors, snapshot and has_skills; text and parse stay behind."""
-    found = ru.document_findings(ft.profile(docs, today), catalogue)
+    """Documents with findings, rule_errors, snapshot and has_skills; text and parse stay behind.
+
+    A document without text (null) fails: all of these are null.  With ``guarded`` so does one
+    whose evaluation raises an error, which else ends the job; every step is evaluated twice then.
+    """
+    add = add_sound if guarded else DataFrame.withColumns
+    ready = docs.withColumn("_sound", F.lit(True)) if guarded else docs
+    found = ru.document_findings(ft.profile(ready, today, add), catalogue, add)
     keys = [c for c in ("doc_id", "owner_id", "filename", "target_role") if c in docs.columns]
-    return found.select(
-        *keys,
-        "findings",
-        "rule_errors",
-        snapshot().alias("snapshot"),
-        F.col("structure")["has_skills"].alias("has_skills"),
-        F.col("impact")["verb_hint"].alias("verb_hint"),
-        _section_order().alias("section_order"),
-    )
+    parts = {
+        "findings": F.col("findings"),
+        "rule_errors": F.col("rule_errors"),
+        "snapshot": snapshot(),
+        "has_skills": F.col("structure")["has_skills"],
+        "verb_hint": F.col("impact")["verb_hint"],
+        "section_order": _section_order(),
+    }
+    usable = F.col("text").isNotNull()
+    if guarded:
+        usable = usable & F.col("_sound") & is_sound(F.struct(*[c.alias(n) for n, c in parts.items()]))
+    return found.select(*keys, *[F.when(usable, c).alias(n) for n, c in parts.items()])
 
 
 def score_corpus(
@@ -75,14 +84,18 @@ def score_corpus(
     matches: DataFrame | None = None,
     requests: DataFrame | None = None,
     catalogue: ru.Catalogue | None = None,
+    guarded: bool = False,
 ) -> DataFrame:
     """Reviews: one row per document, or per (doc_id, posting_id) when ``matches`` is given.
 
     ``matches`` holds (doc_id, posting_id, coverage, matched, missing); see
     ``operators.matching.match_report``, and ``requests`` the pairs it was made
     for.  Only compact findings are shuffled to meet it, never text.
+
+    A document that cannot be reviewed (see ``review_documents``) has null findings, scores and
+    band; ``sinks.write_reviews`` stores it as failed.
     """
-    reviewed = review_documents(docs, today, catalogue)
+    reviewed = review_documents(docs, today, catalogue, guarded)
     if matches is None:
         return sc.score(reviewed)
     if requests is None:
@@ -102,6 +115,12 @@ def findings_table(reviews: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def errors_table(reviews: DataFrame, *keys: str) -> DataFrame:
+    """Rules that failed, one row for each document they failed on."""
+    failed = reviews.select(*keys, F.explode_outer("rule_errors").alias("rule_id"))
+    return failed.filter(F.col("rule_id").isNotNull())
+
+
 def category_table(reviews: DataFrame, *keys: str) -> DataFrame:
     return unnest(reviews, list(keys), "category_scores")
 

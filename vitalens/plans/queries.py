@@ -5,6 +5,9 @@ Arrays are rendered as text so that results compare across engines.
 
 from __future__ import annotations
 
+import functools
+import operator
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,6 +18,8 @@ from vitalens.functions import terms as tm
 from vitalens.functions import text as tx
 from vitalens.functions.core import built_once, round1, unnest
 from vitalens.operators import annotate as an
+from vitalens.operators import best as bs
+from vitalens.operators import comparison as cm
 from vitalens.operators import facts as fx
 from vitalens.operators import features as ft
 from vitalens.operators import history as hs
@@ -26,9 +31,11 @@ from vitalens.operators import scoring as sc
 from vitalens.operators import sections as sx
 from vitalens.operators import timeline as tl
 from vitalens.plans import corpus
-from vitalens.sources import ingest
+from vitalens.session import checkpoint_folder, checkpointed
+from vitalens.sources import ingest, sinks
 from vitalens.sources import tables as tb
 from vitalens.streaming import throttle as th
+from vitalens.streaming import uploads as up
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -407,6 +414,16 @@ def _(spark, d):
     )
 
 
+@query("k12_best_postings")
+def _(spark, d):
+    return bs.best_matches(tb.cv_docs(spark, d), tb.cv_postings(spark, d), 5)
+
+
+@query("k12_best_documents")
+def _(spark, d):
+    return bs.best_matches(tb.documents(spark, d), tb.postings(spark, d), 10, per="posting_id")
+
+
 def _matched_reviews(spark, d) -> DataFrame:
     docs = tb.cv_docs(spark, d)
     requests = _cv_requests(docs)
@@ -429,11 +446,6 @@ def _(spark, d):
 # --- stored reviews ------------------------------------------------------------------------------------
 
 
-def _daily_pairs(spark, d) -> DataFrame:
-    """Daily reviews with their automatic baselines."""
-    return hs.baselines(tb.ev_days(spark, d)).filter(F.col("baseline_id").isNotNull())
-
-
 def _daily_scores(spark, d) -> DataFrame:
     findings = tb.ev_findings(spark, d)
     days = tb.ev_days(spark, d).select("review_id")
@@ -545,9 +557,8 @@ def _(spark, d):
 
 @query("src6_stored_layout")
 def _(spark, d):
-    return ingest.stored_layout(tb.table(spark, d, "events").select("event_id", "props"), "props").select(
-        "event_id", "k", "table_count", "is_scanned"
-    )
+    stored = tb.table(spark, d, "events").select("event_id", "props", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    return ingest.stored_layout(stored, "props").select("event_id", "k", "table_count", "is_scanned")
 
 
 @query("j5_baselines")
@@ -568,36 +579,91 @@ def _(spark, d):
     return hs.check_pairs(pairs, reviews)
 
 
+def _compared(spark, d) -> DataFrame:
+    """Daily reviews, their findings and scores, stored as a sink would, and each compared with its baseline."""
+    days, findings, scores = (checkpointed(t) for t in (tb.ev_days(spark, d), tb.ev_findings(spark, d), _daily_scores(spark, d)))
+    bits = cm.RuleBits(tb.EV_RULES)
+    pairs = hs.baselines(days).filter(F.col("baseline_id").isNotNull())
+    return cm.compare(pairs, cm.review_cards(days, findings, scores, bits), bits)
+
+
 @query("j7_finding_diff")
 def _(spark, d):
-    return hs.finding_diff(_daily_pairs(spark, d), tb.ev_findings(spark, d))
+    return cm.finding_diff(_compared(spark, d))
 
 
 @query("j8_category_deltas")
 def _(spark, d):
-    return hs.category_deltas(_daily_pairs(spark, d), _daily_scores(spark, d))
+    return cm.category_deltas(_compared(spark, d))
 
 
 @query("compare_reviews")
 def _(spark, d):
-    out = hs.compare(
-        tb.ev_days(spark, d), _daily_scores(spark, d), tb.ev_findings(spark, d), _daily_pairs(spark, d)
-    )
+    out = _compared(spark, d)
+    listed = lambda c: joined(F.transform(c, lambda r: F.concat_ws(":", r["rule_id"], r["severity"])))
     return out.select(
         "review_id", "baseline_id", "overall_delta", F.size("categories").alias("n_categories"),
-        joined("resolved").alias("resolved"), joined("introduced").alias("introduced"), "still_open",
+        listed("resolved").alias("resolved"), listed("introduced").alias("introduced"), F.size("still_open").alias("still_open"),
     )
 
 
 @query("j9_erasure")
 def _(spark, d):
-    reviews = tb.ev_reviews(spark, d)
-    erased = reviews.select(
-        F.when(F.col("owner_id").endswith("3"), "owner").otherwise("document").alias("kind"),
-        F.when(F.col("owner_id").endswith("3"), F.col("owner_id")).otherwise(F.col("doc_id")).alias("id"),
-    ).filter((F.col("kind") == "owner") | F.col("id").endswith("1-2"))
-    left = hs.erase({"reviews": reviews, "docs": tb.ev_docs(spark, d)}, erased)
-    return left["reviews"].groupBy("doc_id").agg(F.count("*").alias("n"))
+    """Rows left of each review in every stored table, once owners, documents and reviews are erased."""
+    days = tb.ev_days(spark, d)
+    erased = days.select(
+        F.when(F.col("owner_id").endswith("3"), "owner").when(F.col("doc_id").endswith("8"), "document").otherwise("review").alias("kind"),
+        F.when(F.col("owner_id").endswith("3"), F.col("owner_id")).when(F.col("doc_id").endswith("8"), F.col("doc_id")).otherwise(F.col("review_id")).alias("id"),
+    ).filter((F.col("kind") != "review") | F.col("id").endswith("-05"))
+    stored = {"reviews": days, "docs": tb.ev_docs(spark, d), "findings": tb.ev_findings(spark, d), "category_scores": _daily_scores(spark, d)}
+    left = hs.erase(stored, erased)
+    counts = [
+        left[n].groupBy(F.col(key).alias("id")).agg(F.count("*").alias("n")).withColumn("name", F.lit(n))
+        for n, key in (("reviews", "review_id"), ("docs", "doc_id"), ("findings", "review_id"), ("category_scores", "review_id"))
+    ]
+    return functools.reduce(DataFrame.unionByName, counts)
+
+
+@query("ag_cube")
+def _(spark, d):
+    dims = {"ai": F.col("ai_review").isNotNull(), "colour": hs.score_colour(F.col("overall")), "month": F.date_format("created_at", "yyyy-MM")}
+    reviews = tb.ev_reviews(spark, d).withColumns(dims)
+    exact = hs.completed(reviews).cube(*dims).agg(F.grouping_id().cast("int").alias("grouping_id"), F.count_distinct("doc_id").alias("exact"))
+    same = functools.reduce(operator.and_, [F.col(f"c.{n}").eqNullSafe(F.col(f"x.{n}")) for n in (*dims, "grouping_id")])
+    met = hs.review_cube(reviews, list(dims)).alias("c").join(exact.alias("x"), same)
+    near = F.abs(F.col("documents") - F.col("exact")) <= F.greatest(F.lit(1.0), 4 * hs.SKETCH_ERROR * F.col("exact"))
+    return met.select(*[f"c.{n}" for n in (*dims, "grouping_id")], "n", "best", round1(F.col("mean")).alias("mean"), near.alias("documents_near"))
+
+
+@query("snk1_stored_reviews")
+def _(spark, d):
+    """Reviews as they are read back after being stored, with their child rows counted."""
+    target = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
+    sinks.write_reviews(corpus.score_corpus(tb.cv_docs(spark, d), tb.TODAY), target, tb.TODAY, run_id="query")
+    stored = {n: spark.read.parquet(f"{target}/{n}") for n in ("reviews", "findings", "category_scores", "priorities")}
+    out = stored["reviews"].select("review_id", "doc_id", "status", "error", "overall", "band")
+    for name, label in (("findings", "n_findings"), ("category_scores", "n_categories"), ("priorities", "n_priorities")):
+        out = out.join(stored[name].groupBy("review_id").agg(F.count("*").alias(label)), "review_id", "left")
+    return out.drop("review_id").fillna(0, ["n_findings", "n_categories", "n_priorities"])
+
+
+@query("st3_distinct_uploads")
+def _(spark, d):
+    """Uploads (owner, fingerprint) of a stream over the events, repeats dropped."""
+    folder = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
+    events = spark.readStream.schema(tb.table(spark, d, "events").schema).parquet(f"{d}/events[.]parquet")  # a stream takes no single file
+    uploads = events.select(F.col("user_id").cast("string").alias("owner_id"), tx.fingerprint(F.col("props")).alias("text_hash"), F.col("ts").cast("timestamp").alias("ts"))
+    kept = up.distinct_uploads_stream(uploads, "ts", "36500 days").select("owner_id", "text_hash")
+    stream = kept.writeStream.format("parquet").option("path", f"{folder}/kept").option("checkpointLocation", f"{folder}/state")
+    stream.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(kept.schema).parquet(f"{folder}/kept")
+
+
+@query("st3_batch_uploads")
+def _(spark, d):
+    """The same rule on a table: at most one upload of an owner and text in 30 days."""
+    uploads = tb.table(spark, d, "events").select(F.col("user_id").cast("string").alias("owner_id"), tx.fingerprint(F.col("props")).alias("text_hash"), "ts", "event_id")
+    return up.distinct_uploads(uploads, "ts", "event_id", 30 * 86400).select("owner_id", "event_id")
 
 
 @query("p10_role_fallback")

@@ -19,6 +19,8 @@ def local_session(cpus: int | str | None = None, app: str = "vitalens") -> Spark
         .config("spark.sql.adaptive.enabled", "true")
         # Scoring is bound by CPU, not bytes: keep small shuffles spread over the cores.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        # Tables bucketed by owner also serve keys that hold the owner (sources.stored).
+        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
@@ -49,6 +51,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def folder_of(spark: SparkSession, path: str):
+    """(file system, path) of a folder, wherever it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, place = folder_of(spark, path)
+    return files.exists(place)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Redistribute a table whose scan has fewer splits than there are cores.
 

@@ -23,13 +23,17 @@ STORED_LAYOUT = T.StructType(
     ]
 )
 
+REJECT_REASONS = (
+    "too_large", "empty_file", "legacy_format", "unsupported_type", "needs_text_extraction", "almost_no_text",
+)
+
 # A UTF-16 text is valid when every high surrogate is followed by a low one.
 _UTF16_UNITS_LE = r"^(?:[0-9A-F]{2}(?:[0-9A-CEF][0-9A-F]|D[0-7])|[0-9A-F]{2}D[89AB][0-9A-F]{2}D[C-F])*+$"
 _UTF16_UNITS_BE = r"^(?:(?:[0-9A-CEF][0-9A-F]|D[0-7])[0-9A-F]{2}|D[89AB][0-9A-F]{2}D[C-F][0-9A-F]{2})*+$"
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, modificationTime, length, content) of files within the upload cap."""
+    """(path, modificationTime, length, content) of all files; contents are read where a plan uses them."""
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
@@ -86,63 +90,87 @@ def near_empty(text: Column) -> Column:
     return F.length(tx.ustrip(text)) < lx.MIN_TEXT_CHARS
 
 
+def _description(t: Column) -> dict[str, Column]:
+    words = tx.word_count(t)
+    return {
+        "text_hash": tx.fingerprint(t),
+        "layout": F.struct(
+            tx.page_estimate(words).alias("page_count"),
+            words.alias("word_count"),
+            F.length(t).alias("char_count"),
+            F.lit(0).alias("table_count"),
+            F.lit(0).alias("image_count"),
+            F.lit(0).alias("multi_column_pages"),
+            F.lit(False).alias("has_header_footer_text"),
+            F.lit(False).alias("is_scanned"),
+            F.array(F.length(t)).alias("chars_per_page"),
+            F.array().cast("array<string>").alias("warnings"),
+        ),
+    }
+
+
 def describe(df: DataFrame, text: str = "text") -> DataFrame:
     """Add hash and layout of cleaned plain text."""
-    t = F.col(text)
-    words = tx.word_count(t)
-    return df.withColumns(
-        {
-            "text_hash": tx.fingerprint(t),
-            "layout": F.struct(
-                tx.page_estimate(words).alias("page_count"),
-                words.alias("word_count"),
-                F.length(t).alias("char_count"),
-                F.lit(0).alias("table_count"),
-                F.lit(0).alias("image_count"),
-                F.lit(0).alias("multi_column_pages"),
-                F.lit(False).alias("has_header_footer_text"),
-                F.lit(False).alias("is_scanned"),
-                F.array(F.length(t)).alias("chars_per_page"),
-                F.array().cast("array<string>").alias("warnings"),
-            ),
-        }
-    )
+    return df.withColumns(_description(F.col(text)))
 
 
-def ingest(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected).
+def mark(files: DataFrame) -> DataFrame:
+    """One row per file: path, length, reject_reason (null: accepted), and its document.
 
-    Plain text is decoded and cleaned here.  Bytes of PDF and DOCX files need a
-    codec outside Spark and are reported as ``needs_text_extraction``; their
-    extracted text enters through ``clean_documents``.
+    Contents are read in one scan and decoded and cleaned once.  The source takes the filter on
+    the length before it opens a file, so files beyond the upload cap are known by their
+    listing only.  Bytes of PDF and DOCX files need a codec outside Spark and are reported as
+    ``needs_text_extraction``; their extracted text enters through ``clean_documents``.
     """
-    screened = screen(files)
-    usable = screened.filter(F.col("reject_reason").isNull())
-    coded = usable.withColumn("codec", codec(F.col("content")))
-    text = tx.clean(decode(F.col("content"), F.col("codec")))
-    decoded = coded.withColumn("text", text)
-    accepted = describe(
-        drop_near_empty(
-            coded.select(
-                F.sha2("path", 256).alias("doc_id"),
-                F.regexp_extract("path", "[^/]+$", 0).alias("filename"),
-                F.col("modificationTime").alias("created_at"),
-                "codec",
-                "content",
-            ),
-            text,
-        ).drop("content")
+    small = F.col("length") <= lx.MAX_UPLOAD_BYTES
+    facts = ("path", "length", "reject_reason")
+    coded = screen(files.filter(small)).withColumn(
+        "raw",
+        F.when(
+            F.col("reject_reason").isNull(),
+            let(codec(F.col("content")), lambda c: F.struct(c.alias("codec"), decode(F.col("content"), c).alias("text"))),
+        ),
     )
-    rejected = (
-        screened.filter(F.col("reject_reason").isNotNull())
-        .select("path", "length", "reject_reason")
-        .unionByName(
-            decoded.filter(near_empty(F.col("text"))).select(
-                "path", "length", F.lit("almost_no_text").alias("reject_reason")
-            )
-        )
+
+    def document(t: Column) -> Column:
+        return F.struct(t.alias("text"), near_empty(t).alias("thin"), *[c.alias(n) for n, c in _description(t).items()])
+
+    # The generator keeps filters on the outcome from being pushed below the parse and repeating it.
+    parsed = coded.select(
+        *facts,
+        "modificationTime",
+        F.col("raw.codec").alias("codec"),
+        F.explode_outer(F.array(let(tx.clean(F.col("raw.text")), document))).alias("doc"),
+    )
+    thin = F.when(F.col("doc.thin"), "almost_no_text")
+    marked = parsed.select(
+        "path",
+        "length",
+        F.coalesce("reject_reason", thin).alias("reject_reason"),
+        F.sha2("path", 256).alias("doc_id"),
+        F.regexp_extract("path", "[^/]+$", 0).alias("filename"),
+        F.col("modificationTime").alias("created_at"),
+        "codec",
+        *[F.col(f"doc.{n}").alias(n) for n in ("text", "text_hash", "layout")],
     )
-    return accepted, rejected
+    large = screen(files.filter(~small)).select(*facts)
+    return marked.unionByName(large, allowMissingColumns=True)
+
+
+def accepted_of(marked: DataFrame) -> DataFrame:
+    """The documents among marked files."""
+    return marked.filter(F.col("reject_reason").isNull()).drop("path", "length", "reject_reason")
+
+
+def rejected_of(marked: DataFrame) -> DataFrame:
+    """(path, length, reject_reason)"""
+    return marked.filter(F.col("reject_reason").isNotNull()).select("path", "length", "reject_reason")
+
+
+def ingest(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected), each a plan of its own; ``sinks.write_uploads`` stores both in one pass."""
+    marked = mark(files)
+    return accepted_of(marked), rejected_of(marked)
 
 
 def drop_near_empty(docs: DataFrame, text: Column) -> DataFrame:
@@ -165,13 +193,11 @@ def clean_documents(docs: DataFrame) -> DataFrame:
 
 def stored_layout(df: DataFrame, column: str) -> DataFrame:
     """Fields of a stored JSON description, each with its default; unknown JSON gives defaults."""
-    schema = T.StructType([T.StructField("k", T.IntegerType()), *STORED_LAYOUT.fields])
-    meta = df.withColumn("_meta", F.from_json(column, schema))
+    meta = df.withColumn("_meta", F.from_json(column, STORED_LAYOUT))
     field = lambda n, default: F.coalesce(F.col(f"_meta.{n}"), default).alias(n)
     char_default = F.length("text") if "text" in df.columns else F.lit(0)
     return meta.select(
         *df.columns,
-        F.col("_meta.k").alias("k"),
         field("char_count", char_default),
         field("table_count", F.lit(0)),
         field("image_count", F.lit(0)),

@@ -237,6 +237,9 @@ SELECT review_id, owner_id,
 FROM distinct_rules
 """
 
+# The rule ids that occur in them.
+EV_RULES = tuple(f"{t}.{code}" for t in ("click", "error", "purchase", "signup", "view") for code in range(5))
+
 EV_DAYS = r"""
 SELECT CAST(user_id AS STRING) || '@' || substr(CAST(ts AS STRING), 1, 10) AS review_id,
        CAST(user_id AS STRING) AS doc_id,

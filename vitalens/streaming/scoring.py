@@ -25,17 +25,18 @@ def read_uploads(spark: SparkSession, path: str) -> DataFrame:
 def score_uploads(
     files: DataFrame, target: str, checkpoint: str, today: date, available_now: bool = True
 ) -> StreamingQuery:
-    """Score accepted uploads and append reviews, scores and findings under ``target``.
+    """Store uploads, score the accepted ones and append reviews, scores and findings under ``target``.
 
     A batch is written under its own batch id, so a retried batch replaces what a
     lost attempt left behind.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        accepted, rejected = ingest.ingest(batch)
-        reviews = corpus.score_corpus(accepted, today)
-        sinks.write_reviews(reviews, target, today, run_id=f"stream-{batch_id}")
-        sinks.write_batch(rejected, f"{target}/rejected", batch_id)
+        run = f"stream-{batch_id}"
+        sinks.write_uploads(ingest.mark(batch), target, run)
+        stored = sinks.read_uploads(batch.sparkSession, target, run).filter("accepted")
+        reviews = corpus.score_corpus(ingest.accepted_of(stored), today)
+        sinks.write_reviews(reviews, target, today, run_id=run)
 
     writer = files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
