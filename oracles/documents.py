@@ -36,6 +36,10 @@ def _body(t: str) -> str:
 
 _CLEAN = _tidy(_control("text"))
 
+# Documents of plain text, cleaned, as the chain of the career documents takes them.
+_PLAIN_DOCS = f"""SELECT *, CAST(NULL AS INT) AS page_count, 0 AS table_count, 0 AS image_count, 0 AS multi_column_pages,
+    false AS has_header_footer_text, false AS is_scanned FROM (SELECT doc_id, {_CLEAN} AS text FROM documents) WHERE length(text) >= 100"""
+
 SQL: dict[str, str] = {
     "p1_nfkc": "SELECT doc_id, md5(nfc_normalize(text)) AS body FROM documents",
     "p2_glyph_map": _body(_glyphs("text")),
@@ -65,16 +69,9 @@ SQL: dict[str, str] = {
     "fe8_line_stats": r"""SELECT doc_id, len(ls) AS lines, len(list_filter(ls, lambda l: regexp_matches(l, '\S'))) AS filled,
         len(list_filter(ls, lambda l: regexp_matches(l, '\S') AND length(l) > 130)) AS overlong
       FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)""",
-    "documents_length_rules": f"""WITH c AS (SELECT doc_id, {_CLEAN} AS t FROM documents),
-      f AS (SELECT doc_id, {words('t')} AS w, string_split(t, chr(10)) AS ls FROM c WHERE length(t) >= 100),
-      g AS (SELECT doc_id, w, greatest(1, CAST(round_even(w / 500.0, 0) AS INT)) AS pages,
-              len(list_filter(ls, lambda l: l <> '')) AS filled, len(list_filter(ls, lambda l: length(l) > 130)) AS overlong FROM f)
-      SELECT doc_id, 'formatting.too_long' AS rule_id, 'warning' AS severity, CAST(least(24.0, 12.0 * (pages - 1)) AS DOUBLE) AS penalty FROM g WHERE pages > 1
-      UNION ALL SELECT doc_id, 'formatting.too_short', 'critical', 30.0 FROM g WHERE w < 250
-      UNION ALL SELECT doc_id, 'formatting.thin', 'warning', 12.0 FROM g WHERE w >= 250 AND w < 350
-      UNION ALL SELECT doc_id, 'formatting.verbose', 'warning', 12.0 FROM g WHERE w > 1200
-      UNION ALL SELECT doc_id, 'formatting.dense_lines', 'suggestion', 6.0 FROM g WHERE overlong > greatest(3, filled * 0.15)
-      UNION ALL SELECT doc_id, 'formatting.well_sized', 'positive', 0.0 FROM g WHERE pages <= 1 AND w BETWEEN 350 AND 1000""",
+    "documents_length_rules": cv_sql(
+        "raw_findings", "SELECT doc_id, rule_id, severity, CAST(penalty AS DOUBLE) AS penalty FROM raw_findings", docs=_PLAIN_DOCS
+    ),
     "x23_scanned": "SELECT doc_id, doc_id % 5 > 0 AND length(text) < 200 * (doc_id % 5) AS scanned FROM documents",
     "x24_w7_table_rows": f"""SELECT doc_id, table_no, row_no, string_agg(cell, ' | ' ORDER BY col_no) AS line FROM (
         SELECT *, lag(cell) OVER (PARTITION BY doc_id, table_no, row_no ORDER BY col_no) AS before

@@ -196,7 +196,8 @@ _POST = [("p_src", tb.POSTINGS)]
 _CVPOST = [("p_src", tb.DUCKDB.render(tb.CV_POSTINGS))]
 _BOTH = [("p_src", "SELECT -1 - item_id AS posting_id, text FROM benchmark UNION ALL " + tb.DUCKDB.render(tb.CV_POSTINGS))]
 _DOC_REQUESTS = "SELECT DISTINCT doc_id, unnest([doc_id % n, (doc_id * 7 + 3) % n]) AS posting_id FROM documents, (SELECT count(*) AS n FROM benchmark)"
-_CV_REQUESTS = "SELECT doc_id, doc_id AS posting_id FROM docs"
+_CV_REQUESTS = """SELECT p_partkey % (SELECT count(*) FROM customer) AS doc_id, p_partkey AS posting_id FROM part
+    UNION SELECT c_custkey, (c_custkey * 7 + 3) % (SELECT count(*) FROM part) FROM customer"""
 _CV_MATCH = (
     _CVPOST
     + term_steps("p_src", "p_")
@@ -224,30 +225,30 @@ _KW = [
     ("kw_base", _KW_FINDINGS),
     (
         "kw_findings",
-        """SELECT doc_id, 'keywords.low_coverage' AS rule_id, 'critical' AS severity, 45.0 AS penalty, missing[1:8][1:5] AS ev, NULL AS section FROM kw_base WHERE coverage < 0.35
-        UNION ALL SELECT doc_id, 'keywords.partial_coverage', 'warning', 20.0, missing[1:5], NULL FROM kw_base WHERE coverage >= 0.35 AND coverage < 0.6
-        UNION ALL SELECT doc_id, 'keywords.strong_coverage', 'positive', 0.0, matched[1:5], NULL FROM kw_base WHERE coverage >= 0.6
-        UNION ALL SELECT doc_id, 'keywords.critical_missing', 'warning', 15.0, heavy[1:5], NULL FROM kw_base WHERE len(heavy) > 0
-        UNION ALL SELECT doc_id, 'keywords.no_skills_section', 'warning', 12.0, [], 'skills' FROM kw_base WHERE NOT has_skills AND len(missing) > 0""",
+        """SELECT doc_id, posting_id, 'keywords.low_coverage' AS rule_id, 'critical' AS severity, 45.0 AS penalty, missing[1:8][1:5] AS ev, NULL AS section FROM kw_base WHERE coverage < 0.35
+        UNION ALL SELECT doc_id, posting_id, 'keywords.partial_coverage', 'warning', 20.0, missing[1:5], NULL FROM kw_base WHERE coverage >= 0.35 AND coverage < 0.6
+        UNION ALL SELECT doc_id, posting_id, 'keywords.strong_coverage', 'positive', 0.0, matched[1:5], NULL FROM kw_base WHERE coverage >= 0.6
+        UNION ALL SELECT doc_id, posting_id, 'keywords.critical_missing', 'warning', 15.0, heavy[1:5], NULL FROM kw_base WHERE len(heavy) > 0
+        UNION ALL SELECT doc_id, posting_id, 'keywords.no_skills_section', 'warning', 12.0, [], 'skills' FROM kw_base WHERE NOT has_skills AND len(missing) > 0""",
     ),
     (
         "all_findings",
-        """SELECT doc_id, rule_id, category, severity, penalty FROM findings
-        UNION ALL SELECT doc_id, rule_id, 'keywords', severity, CAST(penalty AS DOUBLE) FROM kw_findings""",
+        """SELECT f.doc_id, r.posting_id, rule_id, category, severity, penalty FROM findings f JOIN requests r ON r.doc_id = f.doc_id
+        UNION ALL SELECT doc_id, posting_id, rule_id, 'keywords', severity, CAST(penalty AS DOUBLE) FROM kw_findings""",
     ),
     (
         "all_scores",
-        f"""SELECT doc_id, sum(score * w) / 100.0 AS overall FROM (
-            SELECT d.doc_id, c.w, greatest(0.0, least(100.0, 100.0 - coalesce(sum(f.penalty), 0.0))) AS score
-            FROM docs d CROSS JOIN (SELECT unnest({str_list([c for c, _ in lx.CATEGORY_WEIGHTS])}) AS category, unnest([{', '.join(str(w) for _, w in lx.CATEGORY_WEIGHTS)}]::DOUBLE[]) AS w) c
-            LEFT JOIN all_findings f ON f.doc_id = d.doc_id AND f.category = c.category GROUP BY d.doc_id, c.category, c.w) GROUP BY doc_id""",
+        f"""SELECT doc_id, posting_id, sum(score * w) / 100.0 AS overall FROM (
+            SELECT d.doc_id, d.posting_id, c.w, greatest(0.0, least(100.0, 100.0 - coalesce(sum(f.penalty), 0.0))) AS score
+            FROM requests d CROSS JOIN (SELECT unnest({str_list([c for c, _ in lx.CATEGORY_WEIGHTS])}) AS category, unnest([{', '.join(str(w) for _, w in lx.CATEGORY_WEIGHTS)}]::DOUBLE[]) AS w) c
+            LEFT JOIN all_findings f ON f.doc_id = d.doc_id AND f.posting_id = d.posting_id AND f.category = c.category GROUP BY d.doc_id, d.posting_id, c.category, c.w) GROUP BY doc_id, posting_id""",
     ),
     (
         "all_prios",
-        f"""SELECT doc_id, sum({round1('gain')} ORDER BY rank) AS gains FROM (
-            SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY gain DESC, {rank_case()}, -penalty, category, rule_id) AS rank
+        f"""SELECT doc_id, posting_id, sum({round1('gain')} ORDER BY rank) AS gains FROM (
+            SELECT *, row_number() OVER (PARTITION BY doc_id, posting_id ORDER BY gain DESC, {rank_case()}, -penalty, category, rule_id) AS rank
             FROM (SELECT *, penalty * {weight_case()} / 100.0 AS gain FROM all_findings WHERE severity <> 'positive' AND penalty > 0))
-          WHERE rank <= 5 GROUP BY doc_id""",
+          WHERE rank <= 5 GROUP BY doc_id, posting_id""",
     ),
 ]
 
@@ -296,14 +297,14 @@ SQL: dict[str, str] = {
     ),
     "rules_keywords": cv_sql(
         "structure",
-        f"SELECT doc_id, rule_id, severity, CAST(penalty AS DOUBLE) AS penalty, {joined('ev')} AS evidence, section FROM kw_findings",
+        f"SELECT doc_id, posting_id, rule_id, severity, CAST(penalty AS DOUBLE) AS penalty, {joined('ev')} AS evidence, section FROM kw_findings",
         _CV_MATCH + _KW[:2],
     ),
     "ag2_overall_with_posting": cv_sql(
         "findings",
-        f"""SELECT s.doc_id, s.doc_id AS posting_id, overall, {band_case('overall')} AS band,
+        f"""SELECT s.doc_id, s.posting_id, overall, {band_case('overall')} AS band,
         {round1('least(100.0, overall + coalesce(gains, 0.0))')} AS projected_score
-        FROM all_scores s LEFT JOIN all_prios p ON s.doc_id = p.doc_id""",
+        FROM all_scores s LEFT JOIN all_prios p ON s.doc_id = p.doc_id AND s.posting_id = p.posting_id""",
         _CV_MATCH + _KW,
     ),
 }

@@ -340,8 +340,14 @@ def doc_requests(docs: DataFrame, postings: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(F.array_distinct(ids)).alias("posting_id"))
 
 
-def _cv_requests(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.col("doc_id").alias("posting_id"))
+def _cv_requests(spark, d) -> DataFrame:
+    """Each posting asked for by a document and each document asking for a posting (both numbered from 0)."""
+    docs = tb.table(spark, d, "customer").select(F.col("c_custkey").cast("bigint").alias("doc_id"))
+    postings = tb.table(spark, d, "part").select(F.col("p_partkey").cast("bigint").alias("posting_id"))
+    n_docs, n_postings = (t.agg(F.count("*")).scalar() for t in (docs, postings))
+    asked = postings.select((F.col("posting_id") % n_docs).alias("doc_id"), "posting_id")
+    asking = docs.select("doc_id", ((F.col("doc_id") * 7 + 3) % n_postings).alias("posting_id"))
+    return asked.unionByName(asking).distinct()
 
 
 @query("k1_k2_tokens")
@@ -397,7 +403,7 @@ def _(spark, d):
 def _(spark, d):
     docs = tb.cv_docs(spark, d)
     terms = mt.posting_terms(tb.cv_postings(spark, d))
-    long = mt.term_table(mt.match_terms(docs, terms, _cv_requests(docs)))
+    long = mt.term_table(mt.match_terms(docs, terms, _cv_requests(spark, d)))
     return long.select(
         "doc_id", "posting_id", "rank", "term", F.col("weight").cast("double").alias("weight"),
         "in_doc", joined("variants").alias("variants"),
@@ -426,7 +432,7 @@ def _(spark, d):
 
 def _matched_reviews(spark, d) -> DataFrame:
     docs = tb.cv_docs(spark, d)
-    requests = _cv_requests(docs)
+    requests = _cv_requests(spark, d)
     matches = mt.match_report(docs, tb.cv_postings(spark, d), requests)
     return corpus.score_corpus(docs, tb.TODAY, matches, requests)
 
@@ -435,7 +441,7 @@ def _matched_reviews(spark, d) -> DataFrame:
 def _(spark, d):
     return corpus.findings_table(_matched_reviews(spark, d), "doc_id", "posting_id").filter(
         F.col("category") == "keywords"
-    ).select("doc_id", "rule_id", "severity", "penalty", joined("evidence").alias("evidence"), "section")
+    ).select("doc_id", "posting_id", "rule_id", "severity", "penalty", joined("evidence").alias("evidence"), "section")
 
 
 @query("ag2_overall_with_posting")
@@ -809,13 +815,10 @@ def _(spark, d):
 
 @query("documents_length_rules")
 def _(spark, d):
+    """Findings of the whole catalogue on documents of plain text."""
     docs = ingest.clean_documents(tb.documents(spark, d))
     found = ru.document_findings(ft.profile(docs, tb.TODAY))
-    return (
-        unnest(found, ["doc_id"], "findings")
-        .filter(F.col("rule_id").isin("formatting.too_long", "formatting.too_short", "formatting.thin", "formatting.verbose", "formatting.dense_lines", "formatting.well_sized"))
-        .select("doc_id", "rule_id", "severity", "penalty")
-    )
+    return unnest(found, ["doc_id"], "findings").select("doc_id", "rule_id", "severity", "penalty")
 
 
 # --- layout ---------------------------------------------------------------------------------------------------
