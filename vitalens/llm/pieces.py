@@ -27,7 +27,7 @@ from vitalens.llm import bpe, common
 
 MARK = "▁"
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-WORD_LIMIT = 400_000  # remembered words
+WORD_LIMIT = 300_000  # words remembered within a task, a generation
 WORD_CHARS = 64  # longer words are not remembered
 
 
@@ -61,6 +61,11 @@ class Pieces:
             out[word] = np.array(ids[::-1], "<i4").tobytes()
         return out
 
+    def forget(self) -> None:
+        """Drop what was remembered of texts; a worker that waits for other work holds the model alone."""
+        self.known = bpe.Recent(WORD_LIMIT)
+        self.forward.pairs.clear()
+
     def words(self, text: str) -> list[str]:
         """The marked words of a text."""
         marked = MARK + text.replace(" ", MARK)
@@ -108,19 +113,22 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     def work(batches):
         model = pieces(path)
-        for batch in common.slices(batches):
-            texts = [t.decode("utf-8") for t in common.texts(batch.column(1))]
-            ids = model.encode(texts)
-            back = [model.decode(i.tolist()) for i in ids]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *ids]), pa.int32())
-            )
-            same = pa.array([a == b for a, b in zip(texts, back)], pa.bool_())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes), lists, pa.array(back, pa.string()), same],
-                names=["doc_id", "n_pieces", "piece_ids", "decoded", "exact"],
-            )
+        try:
+            for batch in common.slices(batches):
+                texts = [t.decode("utf-8") for t in common.texts(batch.column(1))]
+                ids = model.encode(texts)
+                back = [model.decode(i.tolist()) for i in ids]
+                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+                lists = pa.ListArray.from_arrays(
+                    pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *ids]), pa.int32())
+                )
+                same = pa.array([a == b for a, b in zip(texts, back)], pa.bool_())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(sizes), lists, pa.array(back, pa.string()), same],
+                    names=["doc_id", "n_pieces", "piece_ids", "decoded", "exact"],
+                )
+        finally:
+            model.forget()
 
     return common.arrow_map(df.select(df[id_col].cast("bigint").alias("doc_id"), df[text_col].cast("string").alias("text")), work, SCHEMA)
 
