@@ -169,6 +169,32 @@ def test_throttle_batch(spark, bucket):
     assert got == _expected(rows, 3, 60)
 
 
+def _hot_rows(kind, n=3000):
+    """A key that never pauses for a minute: at random, in bursts, or to a steady beat; and a few others."""
+    rnd = random.Random(8)
+    rows, t = [], 0.0
+    for i in range(n):
+        t += {"random": rnd.expovariate(1 / 7), "bursts": 0 if i % 9 else rnd.uniform(1, 59), "beat": 4.0}[kind]
+        rows.append(("hot", i, T0 + dt.timedelta(seconds=min(t, 59.0 + (rows[-1][2] - T0).total_seconds()) if rows else t)))
+    return rows + [(f"k{i % 5}", n + i, T0 + dt.timedelta(seconds=11 * i)) for i in range(400)]
+
+
+@pytest.mark.parametrize("kind,limit", [("random", 3), ("random", 1), ("bursts", 4), ("beat", 2)])
+def test_throttle_spreads_a_key_that_never_pauses(spark, kind, limit):
+    rows = _hot_rows(kind)
+    df = spark.createDataFrame(rows, "k string, i bigint, ts timestamp")
+    merge = "spark.sql.adaptive.coalescePartitions.enabled"  # or these few rows are read by one task
+    spark.conf.set(merge, "false")
+    try:
+        out = th.throttle(df, "k", "ts", "i", limit=limit, window=60, bucket="hour", piece_windows=20)
+        got = out.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset(merge)
+    assert {r.id: r.retry_after for r in got} == _expected(rows, limit, 60) and len(got) == len(rows)
+    tasks = collections.Counter(r.task for r in got if r.key == "hot")
+    assert len(tasks) >= 4 and max(tasks.values()) < 0.7 * sum(tasks.values())
+
+
 def test_throttle_window_edge(spark):
     rows = [("k", i, T0 + dt.timedelta(seconds=s)) for i, s in enumerate([0, 60, 60.000001, 119])]
     df = spark.createDataFrame(rows, "k string, i bigint, ts timestamp")
@@ -204,6 +230,85 @@ def test_throttle_stream_out_of_order_equals_batch(spark, tmp_path):
     assert got == _expected(rows, 3, 60)
 
 
+class _State:
+    """State of one key in memory, with the waiting requests that were read."""
+
+    def __init__(self):
+        self.value, self.map, self.timers, self.read = None, {}, set(), 0
+
+    def handle(self):
+        outer = self
+
+        class Value:
+            def __init__(self):
+                self.v = None
+
+            exists = lambda self: bool(self.v)
+            get = lambda self: self.v
+
+            def update(self, v):
+                self.v = v
+
+            put = update
+
+            def clear(self):
+                self.v = None
+
+        class Map:
+            def getValue(self, k):
+                outer.read += len(outer.map[k][0])
+                return outer.map[k]
+
+            def updateValue(self, k, v):
+                outer.map[k] = v
+
+            def removeKey(self, k):
+                del outer.map[k]
+
+        class Handle:
+            getListState = getValueState = lambda self, *_: Value()
+            getMapState = lambda self, *_: Map()
+            listTimers = lambda self: list(outer.timers)
+            registerTimer = lambda self, t: outer.timers.add(t)
+            deleteTimer = lambda self, t: outer.timers.discard(t)
+
+        return Handle()
+
+
+def test_throttle_stream_reads_due_requests_only():
+    """Ten hours of one key, a request every 10 s, an hour of lateness: each request is read about once."""
+    import pandas as pd
+
+    class At:
+        def __init__(self, ms):
+            self.ms = ms
+
+        getCurrentWatermarkInMs = getExpiryTimeInMs = lambda self: self.ms
+
+    state, got, n = _State(), {}, 3600
+    log = th.SlidingLog(3, 60)
+    log.init(state.handle())
+    take = lambda frames: got.update({int(r.id): r.retry_after for f in frames for r in f.itertuples()})
+    micros = [i * 10_000_000 for i in range(n)]
+    for start in range(0, n, 90):  # batches of a quarter of an hour
+        batch = list(range(start, min(n, start + 90)))
+        random.Random(start).shuffle(batch)
+        mark = max(0, (micros[start] - 3_600_000_000) // 1000)
+        take(log.handleInputRows(("k",), iter([pd.DataFrame({"micros": [micros[i] for i in batch], "id": batch})]), At(mark)))
+        while state.timers and min(state.timers) <= mark:
+            fired = min(state.timers)
+            state.timers.discard(fired)
+            take(log.handleExpiredTimer(("k",), At(mark), At(fired)))
+    mark = micros[-1] // 1000 + 10**6
+    while state.timers and min(state.timers) <= mark:
+        fired = min(state.timers)
+        state.timers.discard(fired)
+        take(log.handleExpiredTimer(("k",), At(mark), At(fired)))
+    rows = [("k", i, T0 + dt.timedelta(microseconds=m)) for i, m in enumerate(micros)]
+    assert {i: None if pd.isna(w) else int(w) for i, w in got.items()} == _expected(rows, 3, 60)
+    assert state.read < 1.2 * n and not state.map and not state.timers
+
+
 def test_throttle_stream_names_late_requests(spark, tmp_path):
     t = dt.datetime(2026, 1, 1, 12)
     batches = [
