@@ -36,7 +36,7 @@ SQL: dict[str, str] = {
     "x14_sensitive_terms": cv_sql("contacts", f"SELECT doc_id, {joined('sensitive')} AS sensitive FROM contacts"),
     "x15_x16_bullets": cv_sql("bullets", "SELECT doc_id, line_no, section, body, words, opener FROM bullets"),
     "x17_x18_date_ranges": cv_sql("ranges", "SELECT * FROM ranges"),
-    "x19_j4_range_sections": cv_sql("ranges", "SELECT section, count(*) AS n, count(*) FILTER (is_current) AS n_current FROM ranges GROUP BY section"),
+    "x19_j4_range_sections": cv_sql("ranges", "SELECT doc_id, range_no, line_no, section, raw, is_current FROM ranges"),
     "x20_work_ranges": cv_sql("work_ranges", "SELECT doc_id, line_no, section, raw FROM work_ranges"),
     "x21_judged_bullets": cv_sql("judged", "SELECT doc_id, line_no, section FROM judged"),
     "tl1_month_ordinals": cv_sql("spans", 'SELECT doc_id, s AS start, seq, e AS "end" FROM spans'),

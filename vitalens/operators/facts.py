@@ -89,6 +89,17 @@ def sensitive_terms(flat: Column) -> Column:
     )
 
 
+def header_of(text: Column, secs: Column) -> Column:
+    """The header section, else the first lines of the text."""
+    first = F.array_join(F.slice(tx.lines_of(text), 1, HEADER_FALLBACK_LINES), "\n")
+    return F.coalesce(sx.largest_section(secs, "header")["text"], first)
+
+
+def header_has_email(header: Column) -> Column:
+    """Whether contacts are read from the header alone, and not from the whole text."""
+    return F.contains(header, F.lit("@")) & header.rlike(EMAIL)
+
+
 def contact(text: Column, secs: Column) -> Column:
     """Struct of name, emails, phones, linkedin, github, websites, location, sensitive."""
 
@@ -133,9 +144,7 @@ def contact(text: Column, secs: Column) -> Column:
         )
 
     def scoped(v: Column) -> Column:
-        scope = F.when(
-            F.contains(v["header"], F.lit("@")) & v["header"].rlike(EMAIL), v["header"]
-        ).otherwise(v["text"])
+        scope = F.when(header_has_email(v["header"]), v["header"]).otherwise(v["text"])
         head_lines = tx.lines_of(v["header"])
         return let_struct(
             lambda s: let_struct(
@@ -156,10 +165,7 @@ def contact(text: Column, secs: Column) -> Column:
         lambda v: let_struct(
             scoped,
             text=v["text"],
-            header=F.coalesce(
-                sx.largest_section(v["secs"], "header")["text"],
-                F.array_join(F.slice(tx.lines_of(v["text"]), 1, HEADER_FALLBACK_LINES), "\n"),
-            ),
+            header=header_of(v["text"], v["secs"]),
         ),
         text=text,
         secs=secs,

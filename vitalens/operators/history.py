@@ -306,13 +306,10 @@ def of_severity(findings: DataFrame, severity: str | None = None) -> DataFrame:
     return findings if severity is None else findings.filter(F.col("severity") == severity)
 
 
-def layout_is_root_cause(findings: DataFrame) -> DataFrame:
-    """(review_id, root_cause): a multi-column layout together with an empty required section."""
-    return findings.groupBy("review_id").agg(
-        (
-            F.bool_or(F.col("rule_id") == "ats.multi_column")
-            & F.bool_or(F.col("rule_id").startswith("structure.empty_"))
-        ).alias("root_cause")
+def layout_cause(findings: Column) -> Column:
+    """Whether the findings of a review hold a multi-column layout together with an empty required section."""
+    return F.exists(findings, lambda f: f["rule_id"] == "ats.multi_column") & F.exists(
+        findings, lambda f: f["rule_id"].startswith("structure.empty_")
     )
 
 

@@ -118,6 +118,8 @@ def failures(catalogue: Catalogue, v: Column) -> Column:
     )
 
 
+# --- fixed values: ids, severities, penalties and thresholds of all rules below ---
+
 # --- contact ------------------------------------------------------------------------------
 
 

@@ -112,12 +112,8 @@ def _contacts(spark, d, *cols) -> DataFrame:
 
 @query("x8_contact_scope")
 def _(spark, d):
-    docs = fx.parse(tb.cv_docs(spark, d))
-    header = F.coalesce(
-        sx.largest_section(F.col("secs"), "header")["text"],
-        F.array_join(F.slice(tx.lines_of(F.col("text")), 1, fx.HEADER_FALLBACK_LINES), "\n"),
-    )
-    return docs.select("doc_id", F.md5(header).alias("header"), header.rlike(fx.EMAIL).alias("header_only"))
+    docs = fx.parse(tb.cv_docs(spark, d)).withColumn("header", fx.header_of(F.col("text"), F.col("secs")))
+    return docs.select("doc_id", F.md5("header").alias("header"), fx.header_has_email(F.col("header")).alias("header_only"))
 
 
 @query("x9_emails")
@@ -162,9 +158,8 @@ def _(spark, d):
 
 @query("x19_j4_range_sections")
 def _(spark, d):
-    return fx.date_ranges_table(tb.cv_docs(spark, d)).groupBy("section").agg(
-        F.count("*").alias("n"), F.count_if("is_current").alias("n_current")
-    )
+    ranges = fx.date_ranges_table(tb.cv_docs(spark, d))
+    return ranges.select("doc_id", "range_no", "line_no", "section", "raw", "is_current")
 
 
 @query("x20_work_ranges")
@@ -698,9 +693,8 @@ def _(spark, d):
 
 @query("f7_f8_layout_cause")
 def _(spark, d):
-    scored = corpus.score_corpus(tb.cv_docs(spark, d), tb.TODAY)
-    findings = corpus.findings_table(scored, "doc_id").withColumnRenamed("doc_id", "review_id")
-    return hs.layout_is_root_cause(findings)
+    found = corpus.review_documents(tb.cv_docs(spark, d), tb.TODAY)
+    return found.select(F.col("doc_id").alias("review_id"), hs.layout_cause(F.col("findings")).alias("root_cause"))
 
 
 @query("f7_applicable_categories")
