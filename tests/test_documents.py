@@ -2,6 +2,7 @@ from conftest import STRONG_CV, TODAY, WEAK_CV
 import pytest
 from pyspark.sql import functions as F
 
+from vitalens import lexicon as lx
 from vitalens.operators import annotate as an
 from vitalens.operators import facts as fx
 from vitalens.operators import features as ft
@@ -214,3 +215,29 @@ def test_evidence_spans(spark):
     assert spans[2] == [] and spans[3] == [(0, 8, "x")]
     cut = an.annotate(spark.createDataFrame([(1, "ab\ncd ef", [("r", "warning", ["b\ncd"])])], schema)).first()
     assert [(r.line_no, r.start, r.end) for r in cut.runs] == [(0, 1, 2), (1, 0, 2)]
+
+
+def test_sections_are_counted_only_where_counts_are_read(spark, docs_of):
+    for table in (fx.bullets_table, fx.date_ranges_table, fx.contacts_table):
+        plan = table(docs_of("Experience\n- Built it in 1999 - 2001"))._jdf.queryExecution().optimizedPlan().toString()
+        assert "AS word_count" not in plan and "word_count," not in plan
+
+
+def test_pronouns_are_whole_tokens(spark):
+    import random
+    import re
+
+    r = random.Random(3)
+    texts = ["i'm my 'my' ''we a'my my'", "", None] + ["".join(r.choice(["my", "we", "i", "'", " ", ".", "é", "ours", "_", "-"]) for _ in range(40)) for _ in range(200)]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("t", ft.pronoun_hits(F.col("t")).alias("p")).collect()
+    for row in got:
+        want = None if row.t is None else [w for w in re.findall(r"\w[\w']*", row.t) if w in lx.FIRST_PERSON]
+        assert row.p == want
+
+
+def test_long_lines_name_no_section(spark):
+    lines = ["Work / Experience & Projects", "--- Skills and Tools ---", "One two three four five Skills", "One two three four five six Skills", "A/B/C/D/E/ Skills", "Skills - - - - - -", "É È Ê Ë Skills", "A B C D E (Skills)"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, t string").select("t", sx.heading_name(F.col("t")).alias("n"), sx.normalise_heading(F.col("t")).alias("norm")).collect()
+    for row in got:
+        assert row.n is None or len(row.norm.split(" ")) <= 5
+    assert [r.n for r in got if r.t in ("--- Skills and Tools ---", "Skills - - - - - -", "É È Ê Ë Skills")] == ["skills"] * 3
