@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalens.llm import contamination, linedup, neardup, pieces, quality
-from vitalens.llm.common import saved, table
+from vitalens.llm.common import saved, sorted_join, table
 from vitalens.llm.queries import PIECE_BPE
 
 
@@ -31,7 +31,7 @@ def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     kept = neardup.near_duplicates(docs, percent=80).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
     keyed = docs.withColumn("_text_key", F.xxhash64("text"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_text_key").eqNullSafe(F.col("_key"))
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text_key"]).select(*docs.columns)
+    return keyed.join(sorted_join(kept), same, "left_semi").dropDuplicates(["doc_id", "_text_key"]).select(*docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -415,3 +415,19 @@ def test_pipeline_links_copies_from_80_percent_on(spark):
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     assert sorted(r.doc_id for r in corpus_pipeline.duplicate_stage(spark, df, SF).collect()) == list(range(0, 40, 2))
     assert [neardup.matches_of(p) for p in (80, 85, 100)] == [13, 16, 32]
+
+
+def test_near_duplicates_broadcast_no_table(spark, monkeypatch):
+    from vitalens.llm import common, components
+
+    plans = []
+
+    def saved(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return common.saved(df)
+
+    for module in (neardup, components):
+        monkeypatch.setattr(module, "saved", saved)
+    out = neardup.near_duplicates(spark.createDataFrame(ROWS, "doc_id bigint, text string"))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 8 and not any("Broadcast" in p for p in plans)

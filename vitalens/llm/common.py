@@ -37,6 +37,11 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sorted_join(df: DataFrame) -> DataFrame:
+    """The table for a join by sorting both sides: a table that grows with the input is never gathered in the driver to be broadcast."""
+    return df.hint("merge")
+
+
 def numbered(df: DataFrame, order: list, name: str = "number") -> DataFrame:
     """The rows of df with their place, from 1, in a global order.
 

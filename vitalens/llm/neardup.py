@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalens.llm.common import WordHashes, arrow_map, mixed, rolling, saved, slices, texts
+from vitalens.llm.common import WordHashes, arrow_map, mixed, rolling, saved, slices, sorted_join, texts
 from vitalens.llm.components import components
 
 SHINGLE, PERCENT = 5, 85
@@ -110,7 +110,7 @@ def postings(classes: DataFrame, matches: int) -> DataFrame:
         "class", (F.col("at").cast("bigint") * F.lit(1 << 32) + F.col("value")).alias("token")
     )
     carried = pairs.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    held = pairs.join(carried, "token").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("tokens"))
+    held = pairs.join(sorted_join(carried), "token").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("tokens"))
     room = F.greatest(F.lit(0), F.size("tokens") - (matches - 1))  # pairs of one class alone come first in the prefix
     return (
         held.where(F.size("tokens") >= matches)
@@ -132,7 +132,7 @@ def sided(df: DataFrame, side: str, *names: str) -> DataFrame:
 
 def confirmed(pairs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose full sets are similar enough."""
-    whole = pairs.join(sided(reps, "b", "class", "text"), "b").join(sided(reps, "a", "class", "text"), "a").select("a", "b", "text_a", "text_b")
+    whole = pairs.join(sorted_join(sided(reps, "b", "class", "text")), "b").join(sorted_join(sided(reps, "a", "class", "text")), "a").select("a", "b", "text_a", "text_b")
 
     def work(batches):
         sets, before, own = Shingles(size), None, None
@@ -170,7 +170,7 @@ def shared(reps: DataFrame, size: int) -> DataFrame:
     # Hashes are unsigned in the tasks and signed here; their low bits agree.
     bucket = F.col("shingle").bitwiseAND(BUCKETS - 1)
     single = single.groupBy("class").agg(F.array(*[F.count(F.when(bucket == i, 1)) for i in range(BUCKETS)]).alias("alone"))
-    both = arrow_map(slim, count, "class bigint, every array<bigint>").join(single, "class", "left")
+    both = arrow_map(slim, count, "class bigint, every array<bigint>").join(sorted_join(single), "class", "left")
     return both.select("class", F.when(F.col("alone").isNull(), F.col("every")).otherwise(F.zip_with("every", "alone", lambda n, k: n - k)).alias("held"))
 
 
@@ -183,36 +183,36 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = known.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key", "n_shingles", "minima")).alias("r"))
     classes = saved(classes.select("set_key", F.col("r.doc_id").alias("class"), F.col("r.text_key").alias("text_key"), F.col("r.n_shingles").alias("n"), F.col("r.minima").alias("minima")))
     posted = saved(postings(classes, matches_of(percent)))
-    slim = classes.drop("set_key").join(posted.select("class").distinct(), "class", "left_semi")
+    slim = classes.drop("set_key").join(sorted_join(posted.select("class").distinct()), "class", "left_semi")
     texts_of = docs.select(F.col("doc_id").alias("class"), F.xxhash64("text").alias("text_key"), "text")
-    reps = saved(texts_of.join(slim.select("class", "text_key", "n"), ["class", "text_key"]).dropDuplicates(["class", "text_key"]).select("class", "n", "text"))
+    reps = saved(texts_of.join(sorted_join(slim.select("class", "text_key", "n")), ["class", "text_key"]).dropDuplicates(["class", "text_key"]).select("class", "n", "text"))
 
     centres = posted.groupBy("token").agg(F.max(F.struct("weight", (-F.col("class")).alias("last"))).alias("top")).select("token", (-F.col("top.last")).alias("a"))
-    stars = posted.join(centres, "token").where("class != a").select("a", F.col("class").alias("b")).distinct()
-    near = stars.join(sided(slim, "a", "class", "n", "minima"), "a").join(sided(slim, "b", "class", "n", "minima"), "b").where(alike(percent))
+    stars = posted.join(sorted_join(centres), "token").where("class != a").select("a", F.col("class").alias("b")).distinct()
+    near = stars.join(sorted_join(sided(slim, "a", "class", "n", "minima")), "a").join(sorted_join(sided(slim, "b", "class", "n", "minima")), "b").where(alike(percent))
     near = saved(near.select("a", "b"))
     links = confirmed(near, reps, size, percent)
     joined = components(links).withColumnRenamed("node", "class")
 
     # Lists in which more than one component is left, and the pairs across components in them.
-    placed = posted.join(joined, "class", "left").select("token", "class", F.coalesce("component", "class").alias("part"))
+    placed = posted.join(sorted_join(joined), "class", "left").select("token", "class", F.coalesce("component", "class").alias("part"))
     open_lists = placed.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("token")
-    rest = saved(placed.join(open_lists, "token"))
-    common = saved(shared(reps.join(rest.select("class").distinct(), "class", "left_semi"), size))
+    rest = saved(placed.join(sorted_join(open_lists), "token"))
+    common = saved(shared(reps.join(sorted_join(rest.select("class").distinct()), "class", "left_semi"), size))
     total = lambda counts: F.aggregate(counts, F.lit(0).cast("bigint"), lambda n, x: n + x)
-    chosen = slim.join(common.withColumn("s", total("held")), "class").where(100 * F.col("s") >= percent * F.col("n"))
-    rest = saved(rest.join(chosen, "class"))
+    chosen = slim.join(sorted_join(common.withColumn("s", total("held"))), "class").where(100 * F.col("s") >= percent * F.col("n"))
+    rest = saved(rest.join(sorted_join(chosen), "class"))
     columns = ("token", "class", "part", "n", "s", "held", "minima")
     enough = lambda both: 100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)
     # The cheap bound goes first; the arrays are compared only where it leaves a chance.
     chance = F.when(enough(F.least("s_a", "s_b")), alike(percent) & enough(total(F.zip_with("held_a", "held_b", lambda x, y: F.least(x, y)))))
-    across = sided(rest, "a", *columns).join(sided(rest, "b", *columns), "token").where((F.col("part_a") < F.col("part_b")) & chance)
+    across = sided(rest, "a", *columns).join(sorted_join(sided(rest, "b", *columns)), "token").where((F.col("part_a") < F.col("part_b")) & chance)
     tested = near.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"))
-    across = across.select("a", "b", F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")).distinct().join(tested, ["p", "q"], "left_anti")
+    across = across.select("a", "b", F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")).distinct().join(sorted_join(tested), ["p", "q"], "left_anti")
     more = confirmed(across.select("a", "b"), reps, size, percent)
     found = components(links.union(more)) if not more.isEmpty() else joined.withColumnRenamed("class", "node")
 
-    owned = known.join(classes.select("set_key", "class"), "set_key").select("doc_id", "text_key", "class").distinct()
-    owned = owned.join(found.withColumnRenamed("node", "class"), "class", "left").select("doc_id", "text_key", F.coalesce("component", "class").alias("component_id"))
-    out = signed.select("doc_id", "text_key", "n_shingles").join(owned, ["doc_id", "text_key"], "left")
+    owned = known.join(sorted_join(classes.select("set_key", "class")), "set_key").select("doc_id", "text_key", "class").distinct()
+    owned = owned.join(sorted_join(found.withColumnRenamed("node", "class")), "class", "left").select("doc_id", "text_key", F.coalesce("component", "class").alias("component_id"))
+    out = signed.select("doc_id", "text_key", "n_shingles").join(sorted_join(owned), ["doc_id", "text_key"], "left")
     return out.select("doc_id", "text_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
