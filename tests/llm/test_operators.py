@@ -417,6 +417,32 @@ def test_pipeline_links_copies_from_80_percent_on(spark):
     assert [neardup.matches_of(p) for p in (80, 85, 100)] == [13, 16, 32]
 
 
+def test_language_levels_come_from_all_texts(spark):
+    import numpy as np
+
+    r = random.Random(5)
+    rows = [(lang, "".join(r.choice(letters) for _ in range(r.randint(3, 30)))) for lang, letters in (("aa", "abcdefg "), ("bb", "efghijk ")) for _ in range(2600)]
+    rows = [(lang, t) for lang, t in rows if t.strip()]
+    model, factor, levels = langid.model_of(spark.createDataFrame(rows + rows[:50] + [(None, "abc")], "lang string, text string"))
+    distinct = sorted(set(rows))
+    values = model.entropies([langid.spelled(t.encode()) for _, t in distinct])
+    truth = np.array([model.langs.index(lang) for lang, _ in distinct])
+    own = values[np.arange(len(truth)), truth]
+    assert np.allclose(levels, [np.quantile(own[truth == i], langid.REJECTED) for i in range(2)], atol=1e-6)
+    likely = [(s * own - np.log(np.exp(s * values).sum(axis=1))).sum() for s in 2.0 ** np.arange(-2, 9)]
+    assert factor == 2.0 ** (int(np.argmax(likely)) - 2)
+
+
+def test_language_in_one_pass_as_in_two(spark):
+    data = [(i, "aa" if i % 2 else "bb", prose(i, 6 + i % 5) if i % 2 else " ".join(w[::-1] for w in prose(i, 7).split())) for i in range(60)]
+    df = spark.createDataFrame(data + [(60, None, "bar"), (61, "aa", None), (None, "aa", "12 !"), (1, *data[1][1:])], "doc_id bigint, lang string, text string")
+    learn = df.doc_id % 3 != 1
+    learned = langid.model_of(df.where(learn).select("lang", "text"))
+    want, got = langid.predict(df, learned).collect(), langid.identified(df, learn).collect()
+    key = lambda x: (str(x.doc_id), x.lang_pred, round(x.score, 6), x.accepted)
+    assert sorted(map(key, got)) == sorted(map(key, want)) and len(got) == 64
+
+
 def test_near_duplicates_broadcast_no_table(spark, monkeypatch):
     from vitalens.llm import common, components
 

@@ -10,8 +10,8 @@ Counts, continuation counts, discounts and probabilities are taken by Spark over
 with a language; no n-gram and no language is left out.  The result is one table sorted by
 hash in files of the shared folder.  Tasks hold LOADED values of it at a time: a model of
 more is read file after file for each CHUNK of characters.  The driver knows the files and
-the languages only.  The scale of the score and the levels of rejection are fitted on at
-most CALIBRATION different texts of those rows, the ones of the smallest hashes.
+the languages only.  The scale of the score and the levels of rejection are fitted on all
+different texts of those rows; identified() measures every text once for both.
 
 Texts that are null or have no letter get UNKNOWN with score 0.  If nothing can be learned
 every text gets it.  Ties go to the language that sorts first.
@@ -25,12 +25,12 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalens.llm.common import arrow_map, mixed, remembered, saved, slices, texts
+from vitalens.llm.common import arrow_map, mixed, numbered, remembered, saved, slices, texts
 
-ORDER, CALIBRATION = 5, 4_000
+ORDER = 5
 FILE_ROWS, LOADED, CHUNK = 100_000, 16_000_000, 4_000_000  # rows of a file; values held by a task; characters times languages
 HASH_BITS = 59  # a code is the kind of a row (n of an n-gram, ORDER + n of its context) and so many bits of its hash
 REJECTED = 0.001  # share of a language's own texts that its level rejects
@@ -309,44 +309,83 @@ def tables_of(grams: DataFrame) -> Scorer | None:
     return Scorer(langs, floor, sorted(map(tuple, files.collect()), key=lambda f: f[1]))
 
 
-def scale(truth: np.ndarray, values: np.ndarray) -> float:
-    """The factor on mean log probabilities whose softmax explains the true languages best."""
-    if not len(truth):
-        return 10.0
-    tried = 2.0 ** np.arange(-2, 9)
-    rows = np.arange(len(truth))
-    likely = []
-    for s in tried:
-        z = s * (values - values.max(axis=1, keepdims=True))
-        likely.append((z[rows, truth] - np.log(np.exp(z).sum(axis=1))).sum())
-    return float(tried[int(np.argmax(likely))])
+def measured(df: DataFrame, model: Scorer) -> DataFrame:
+    """df (doc_id, lang, learn, text) as doc_id, lang, learn, k (hash of the text) and values, null without letters."""
+    sent = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))  # with its code, as workers lack it
 
-
-def model_of(labelled: DataFrame) -> tuple | None:
-    """(model, scale, levels) learned from labelled (lang, text); None if there is nothing to learn."""
-    labelled = labelled.where("lang is not null")
-    model = tables_of(saved(counts(labelled)))
-    if model is None:
-        return None
-    sent = labelled.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
-    key = F.xxhash64("text")
-    last = labelled.select(key.alias("k")).distinct().orderBy("k").limit(CALIBRATION).agg(F.max("k")).first()[0]
-
-    def measure(batches):
+    def work(batches):
         known = pickle.loads(sent.value)
         for batch in slices(batches):
-            read = [spelled(t) for t in texts(batch.column(1))]
+            read = [spelled(t) for t in texts(batch.column(4))]
             found = iter(known.entropies([x for x in read if len(x)]).tolist())
             found = [next(found) if len(x) else None for x in read]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.float64()))], names=["lang", "k", "values"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.list_(pa.float64()))], names=["doc_id", "lang", "learn", "k", "values"])
+
+    return arrow_map(df.select("doc_id", "lang", "learn", F.xxhash64("text").alias("k"), "text"), work, "doc_id bigint, lang string, learn boolean, k bigint, values array<double>")
+
+
+def fitted(tried: DataFrame, langs: list[str]) -> tuple[float, np.ndarray]:
+    """The scale of the score and the levels of rejection by all of tried (lang, values).
+
+    The scale is the factor on mean log probabilities whose softmax explains the true languages
+    best; a level is the quantile REJECTED of a language's own texts, between its two nearest ones.
+    """
+    truth = F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")).cast("int")
+    tried = saved(tried.withColumn("own", F.get("values", truth - 1)).where("own is not null"))
+    factors = (2.0 ** np.arange(-2, 9)).tolist()
+    top = F.array_max("values")
+    spread = lambda s: F.aggregate("values", F.lit(0.0), lambda acc, v: acc + F.exp(s * (v - top)))
+    sums = tried.agg(*[F.sum(s * (F.col("own") - top) - F.ln(spread(s))) for s in factors]).first()
+    factor = factors[int(np.argmax(sums))] if sums[0] is not None else 10.0
+    sizes = {r.lang: r["count"] for r in tried.groupBy("lang").count().collect()}
+    wanted, before = {}, 0
+    for lang in sorted(sizes, key=lambda x: x.encode()):
+        at = (sizes[lang] - 1) * REJECTED
+        wanted[lang] = before + 1 + int(at), before + 1 + min(int(at) + 1, sizes[lang] - 1), at - int(at)
+        before += sizes[lang]
+    places = sorted({p for low, high, _ in wanted.values() for p in (low, high)})
+    own = {r.number: r.own for r in numbered(tried.select("lang", "own"), ["lang", "own"]).where(F.col("number").isin(places)).collect()} if places else {}
+    levels = [own[low] + (own[high] - own[low]) * part for low, high, part in (wanted[x] for x in langs if x in wanted)]
+    levels = iter(levels)
+    return factor, np.array([next(levels) if x in wanted else -np.inf for x in langs])
+
+
+def model_of(labelled: DataFrame) -> tuple | None:
+    """(model, scale, levels) learned from labelled (lang, text); None if there is nothing to learn."""
+    labelled = labelled.where("lang is not null").select(F.lit(None).cast("bigint").alias("doc_id"), "lang", F.lit(True).alias("learn"), "text")
+    model = tables_of(saved(counts(labelled.select("lang", "text"))))
+    return model and (model, *fitted(learned_values(measured(labelled, model)), model.langs))
+
+
+def learned_values(values: DataFrame) -> DataFrame:
+    """One row for each different text of a language that was learned from."""
+    return values.where("learn and lang is not null and values is not null").select("lang", "k", "values").distinct()
+
 
-    tried = arrow_map(labelled.where(key <= last).select("lang", "text", key.alias("k")), measure, "lang string, k bigint, values array<double>")
-    tried = [r for r in tried.where("values is not null").distinct().collect() if r.lang in model.langs]
-    values = np.array([r["values"] for r in tried]).reshape(len(tried), len(model.langs))
-    truth = np.array([model.langs.index(r.lang) for r in tried], int)
-    own = values[np.arange(len(truth)), truth]
-    levels = np.array([np.quantile(own[truth == i], REJECTED) if (truth == i).any() else -np.inf for i in range(len(model.langs))])
-    return model, scale(truth, values), levels
+def decided(values: list, learned: tuple | None) -> tuple[list, list, list]:
+    """Language, score and acceptance for the mean log probabilities of texts, None without letters."""
+    langs, scores, accepted = [], [], []
+    for v in values:
+        if v is None:
+            langs.append(UNKNOWN)
+            scores.append(0.0)
+            accepted.append(False)
+            continue
+        model, factor, levels = learned
+        v = np.asarray(v)
+        best = int(np.argmax(v))
+        langs.append(model.langs[best])
+        scores.append(float(1 / np.exp(factor * (v - v[best])).sum()))
+        accepted.append(bool(v[best] >= levels[best]))
+    return langs, scores, accepted
+
+
+PREDICTED = "doc_id bigint, lang_pred string, score double, accepted boolean"
+
+
+def verdicts(ids: pa.Array, found: tuple[list, list, list]) -> pa.RecordBatch:
+    langs, scores, accepted = found
+    return pa.RecordBatch.from_arrays([ids, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(accepted, pa.bool_())], names=["doc_id", "lang_pred", "score", "accepted"])
 
 
 def predict(df: DataFrame, learned: tuple | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -356,21 +395,27 @@ def predict(df: DataFrame, learned: tuple | None, id_col: str = "doc_id", text_c
     def work(batches):
         given = pickle.loads(sent.value)
         for batch in batches:
-            langs, scores, accepted = [], [], []
             read = [spelled(text) if given else () for text in texts(batch.column(1))]
             values = iter(given[0].entropies([x for x in read if len(x)]) if given else ())
-            for x in read:
-                if not len(x):
-                    langs.append(UNKNOWN)
-                    scores.append(0.0)
-                    accepted.append(False)
-                    continue
-                model, factor, levels = given
-                v = next(values)
-                best = int(np.argmax(v))
-                langs.append(model.langs[best])
-                scores.append(float(1 / np.exp(factor * (v - v[best])).sum()))
-                accepted.append(bool(v[best] >= levels[best]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(accepted, pa.bool_())], names=["doc_id", "lang_pred", "score", "accepted"])
-
-    return arrow_map(df.select(df[id_col].cast("bigint").alias("doc_id"), df[text_col].cast("string").alias("text")), work, "doc_id bigint, lang_pred string, score double, accepted boolean")
+            yield verdicts(batch.column(0), decided([next(values) if len(x) else None for x in read], given))
+
+    return arrow_map(df.select(df[id_col].cast("bigint").alias("doc_id"), df[text_col].cast("string").alias("text")), work, PREDICTED)
+
+
+def identified(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Rows of predict() for all of df, with what is learned from its rows where learn holds and that have a language.
+
+    Every text is measured once, for the fit and for its own prediction."""
+    docs = df.select(df[id_col].cast("bigint").alias("doc_id"), df[lang_col].alias("lang"), F.coalesce(learn, F.lit(False)).alias("learn"), df[text_col].cast("string").alias("text"))
+    model = tables_of(saved(counts(docs.where("learn and lang is not null").select("lang", "text"))))
+    if model is None:
+        return predict(docs, None)
+    values = saved(measured(docs, model))
+    sent = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps((model, *fitted(learned_values(values), model.langs))))
+
+    def work(batches):
+        given = pickle.loads(sent.value)
+        for batch in batches:
+            yield verdicts(batch.column(0), decided(batch.column(1).to_pylist(), given))
+
+    return arrow_map(values.select("doc_id", "values"), work, PREDICTED)

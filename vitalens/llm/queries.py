@@ -29,8 +29,7 @@ def op3_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
 def op4_language(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     remainder = F.crc32(F.col("doc_id").cast("string")) % 3
-    learned = langid.model_of(docs.where((remainder != 1) & F.col("lang").isNotNull()).select("lang", "text"))
-    out = langid.predict(docs, learned)
+    out = langid.identified(docs, remainder != 1)
     return out.select("doc_id", F.coalesce(remainder == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
 
 
