@@ -298,6 +298,38 @@ def test_all_content_of_a_page_is_read():
     assert wrappers.main_text(beside, None) == "the long text of the page"
 
 
+def test_constants_are_counted_over_all_pages_of_a_host(spark):
+    # Twelve of 400 pages have a layout of their own; one class name is made for each page.
+    def page(i):
+        if i % 33 == 0:
+            return f"<body><article class='post-{i}'><h2>Review {i}</h2><div class='tail'><p>Rated by our team</p><p>body {i}</p></div></article></body>"
+        return f"<body><article><div><p>text {i}</p><p>Thanks for reading</p></div></article></body>"
+
+    # On 300 of 400 pages, too few for a constant, whatever pages a sample holds.
+    def often(i):
+        return f"<body><article><div><p>text {i}</p>{'<p>Often</p>' if i % 4 else ''}</div></article></body>"
+
+    rows = [(i, f"https://a.example/{i}", page(i)) for i in range(397)] + [(1000 + i, f"https://b.example/{i}", often(i)) for i in range(400)]
+    rows += [(3000, "https://c.example/1", None), (3001, None, "<p>alone</p>")]
+    got = {r.page_id: r.text for r in wrappers.main_texts(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[0] == "Review 0\n\nRated by our team\n\nbody 0"  # its class names make it a page alone
+    assert got[1] == "text 1" and got[396].endswith("body 396")
+    assert all(got[1000 + i] == (f"text {i}\n\nOften" if i % 4 else f"text {i}") for i in range(400))
+    assert got[3000] == "" and got[3001] == "alone"
+    rare = [(i, f"https://a.example/{i}", page(i).replace(f"post-{i}", "post")) for i in range(397)]
+    got = {r.page_id: r.text for r in wrappers.main_texts(spark.createDataFrame(rare, "page_id bigint, url string, html string")).collect()}
+    assert got[33] == "Review 33\n\nbody 33" and got[2] == "text 2"
+
+
+def test_wrappers_of_groups_are_folded_in_turn(spark, monkeypatch):
+    monkeypatch.setattr(wrappers, "FOLDED", 3)
+    kinds = ["h2", "h3", "ul", "ol", "pre"]
+    body = lambda i: "".join(f"<{k}>{k} {i}</{k}>" for j, k in enumerate(kinds) if i >> j & 1)
+    rows = [(i, "https://a.example/", f"<article>{body(i)}<p>end {i}</p><div>Fixed</div></article>") for i in range(128)]
+    got = {r.page_id: r.text for r in wrappers.main_texts(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(t.endswith(f"end {i}") for i, t in got.items())
+
+
 # --- quality ---------------------------------------------------------------------------------------
 
 

@@ -1,9 +1,10 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host share a template.  A wrapper is folded from the trees of some of its
+Pages of one host share a template.  A wrapper is folded from the trees of all of its
 pages: a page is laid over the wrapper by simple tree matching, which pairs the most
 nodes top-down while keeping the order of siblings; paired nodes merge, the others are
-inserted.  Text that stands in the same node on nearly all pages is constant and part of
+inserted.  Then every page is laid over the whole wrapper, and pages are counted by node
+and text.  Text that stands in the same node on nearly all pages is constant and part of
 the template; everything else is a slot.  To extract, a page is laid over the wrapper
 again, and its text is what stands in slots of the content: the articles (or main parts),
 without navigation, headers and footers, asides, notices, adverts, forms, comments, scripts
@@ -12,10 +13,13 @@ and styles, which elements and their class, id and role names tell.
 Siblings of one kind in a row are one run and pair as a whole, so a page of ten thousand
 paragraphs costs no more than its length.
 
-A host's wrapper is folded from PAGES pages, those of the smallest hashes (all, if fewer);
-a page of the same article as another counts once.  With fewer than MIN_PAGES different
-ones nothing is known to be constant.  Wrappers travel by a join on the host, so a host
-of many pages is split by adaptive joins.
+Pages are read once; their trees are saved.  The wrapper is folded from their skeletons
+(trees without texts, each different one once) in groups of at most FOLDED, whose wrappers
+are folded in turn, so that no group grows with the host.  A node whose path of elements
+stands on fewer than MIN_PAGES pages can hold nothing constant and is left out, which keeps
+class names made for one page out of the wrapper.  A page of the same article as another
+counts once.  Wrappers travel by a join on the host, so a host of many pages is split by
+adaptive joins.
 
 Null and empty pages give an empty text.  Pages without host share the empty host.
 Markup that is cut off or not closed is read as far as it goes.
@@ -23,18 +27,19 @@ Markup that is cut off or not closed is read as far as it goes.
 
 from __future__ import annotations
 
+import hashlib
 import html
-import pickle
+import json
 import re
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalens.llm.common import arrow_map, saved, slices
 
-PAGES, MIN_PAGES, CONSTANT = 8, 4, 0.8
+FOLDED, MIN_PAGES, CONSTANT = 500, 4, 0.8
 
 BLOCKS = frozenset(
     "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th "
@@ -211,38 +216,96 @@ def runs_of(items: list) -> list[tuple]:
     return [x for x in items if not isinstance(x, str)]
 
 
+def packed(tree) -> bytes:
+    """A tree as bytes, the same for equal trees."""
+    return zlib.compress(json.dumps(tree, separators=(",", ":")).encode(), 1)
+
+
+def unpacked(data: bytes):
+    return json.loads(zlib.decompress(data))
+
+
+def hashed(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def skeleton(tree) -> tuple:
+    """A tree without texts; members of a run that look alike stand once."""
+    items = []
+    for sign, trees in runs_of(tree[1]):
+        members = []
+        for kid in map(skeleton, trees):
+            if kid not in members:
+                members.append(kid)
+        items.append((sign, members))
+    return tree[0], items
+
+
+def paths(tree, above: int = 0) -> set[int]:
+    """The hashed paths of elements at which a tree has nodes."""
+    out = set()
+    for sign, trees in runs_of(tree[1]):
+        here = hashed(f"{above} {json.dumps(sign)}")
+        out.add(here)
+        for kid in trees:
+            out |= paths(kid, here)
+    return out
+
+
+def pruned(tree, kept: set[int], above: int = 0) -> tuple:
+    """A skeleton without the nodes whose paths are not kept."""
+    items = []
+    for sign, trees in runs_of(tree[1]):
+        here = hashed(f"{above} {json.dumps(sign)}")
+        if here in kept:
+            items.append((sign, [pruned(kid, kept, here) for kid in trees]))
+    return skeleton((tree[0], items))
+
+
 class Wrapper:
-    """A template node: on how many pages it stands, and each text of it."""
+    """A template node.  Once all pages are folded, nodes are numbered and know their constant texts."""
 
-    __slots__ = ("sign", "pages", "texts", "runs", "last")
+    __slots__ = ("sign", "runs", "number", "fixed")
 
     def __init__(self, sign):
-        self.sign, self.pages, self.texts, self.runs, self.last = sign, 0, {}, [], -1
+        self.sign, self.runs, self.number, self.fixed = sign, [], 0, ()
 
-    def fold(self, trees: list[tuple], page: int) -> None:
-        """Merge a run of a page into this node."""
-        self.pages += 1
-        for text in {t for _, items in trees for t in texts_of(items)}:
-            self.texts[text] = self.texts.get(text, 0) + 1
+    def fold(self, trees: list) -> None:
+        """Merge the nodes of a run into this node."""
         for _, items in trees:
             at, runs = 0, runs_of(items)
             for w, r in aligned(self.runs, runs):
                 if w is None:
-                    new = Wrapper(runs[r][0])
-                    self.runs.insert(at, new)
+                    self.runs.insert(at, Wrapper(runs[r][0]))
                     w = at
                 if r is not None:
-                    if self.runs[w].last == page:  # another member of the run was folded already
-                        self.runs[w].pages -= 1
-                    self.runs[w].fold(runs[r][1], page)
-                    self.runs[w].last = page
+                    self.runs[w].fold(runs[r][1])
                 at = w + 1
 
-    def constants(self) -> tuple | None:
-        """What extraction needs: constant texts by node; None if there are none below."""
-        kids = [(w.sign, c) for w in self.runs if (c := w.constants())]
-        fixed = frozenset(t for t, n in self.texts.items() if self.pages >= MIN_PAGES and n >= CONSTANT * self.pages)
-        return (fixed, kids) if fixed or kids else None
+    def tree(self) -> tuple:
+        return self.sign, [(w.sign, [w.tree()]) for w in self.runs]
+
+    def nodes(self) -> list[Wrapper]:
+        return [self] + [n for w in self.runs for n in w.nodes()]
+
+
+def folded(skeletons: list) -> Wrapper:
+    """The wrapper of some skeletons, or of wrappers' trees."""
+    wrapper = Wrapper("")
+    wrapper.fold(skeletons)
+    for number, node in enumerate(wrapper.nodes()):
+        node.number = number
+    return wrapper
+
+
+def with_constants(wrapper: Wrapper, constants: list[tuple[int, int]]) -> Wrapper:
+    """The wrapper, with hashes of constant texts by the numbers of its nodes."""
+    nodes, fixed = wrapper.nodes(), {}
+    for number, text in constants:
+        fixed.setdefault(number, set()).add(text)
+    for number, texts in fixed.items():
+        nodes[number].fixed = texts
+    return wrapper
 
 
 def matching(wrapper_runs: list, runs: list) -> list[list[int]]:
@@ -283,77 +346,143 @@ def aligned(wrapper_runs: list, runs: list, inserting: bool = True):
             yield w + shift, r
 
 
-class Slot:
-    """The constants of a wrapper node, as the alignment reads them."""
-
-    __slots__ = ("sign", "fixed", "runs")
+def partners(runs: list, node: Wrapper | None) -> dict[int, Wrapper]:
+    """The wrapper node on which each run of a page lies, by the run's place."""
+    if not node or not node.runs or not runs:
+        return {}
+    return {r: node.runs[w] for w, r in aligned(node.runs, runs, False) if w is not None and r is not None}
 
-    def __init__(self, sign, known):
-        self.sign, (self.fixed, kids) = sign, known
-        self.runs = [Slot(*k) for k in kids]
 
-
-def induced(pages: list[str]) -> bytes:
-    """The wrapper of a host from some of its pages."""
-    trees, seen = [], set()
-    for page in pages:
-        tree = content_shape(page)
-        if (text := "\n\n".join(extracted(tree, None))) not in seen:
-            seen.add(text)
-            trees.append(tree)
-    wrapper = Wrapper(())
-    for number, tree in enumerate(trees):
-        wrapper.fold([tree], number)
-    return zlib.compress(pickle.dumps(wrapper.constants()))
+def placed(tree, node: Wrapper, out: set) -> set[tuple[int, int | None]]:
+    """Each node of the wrapper on which a part of the page lies, alone and with each text in it."""
+    runs = runs_of(tree[1])
+    out.add((node.number, None))
+    out.update((node.number, hashed(t)) for t in texts_of(tree[1]))
+    for place, on in partners(runs, node).items():
+        for kid in runs[place][1]:
+            placed(kid, on, out)
+    return out
 
 
-def extracted(tree: tuple, slot: Slot | None) -> list[str]:
+def extracted(tree, node: Wrapper | None) -> list[str]:
     """The texts of a block that stand in slots, in page order."""
-    items, out = tree[1], []
-    runs = runs_of(items)
-    partner = {r: slot.runs[w] for w, r in aligned(slot.runs, runs, False) if w is not None and r is not None} if slot and slot.runs and runs else {}
-    place = 0
-    for item in items:
+    out, place = [], 0
+    on = partners(runs_of(tree[1]), node)
+    for item in tree[1]:
         if isinstance(item, str):
-            if not slot or item not in slot.fixed:
+            if not node or not node.fixed or hashed(item) not in node.fixed:
                 out.append(item)
         else:
             for kid in item[1]:
-                out += extracted(kid, partner.get(place))
+                out += extracted(kid, on.get(place))
             place += 1
     return out
 
 
-def main_text(page: str, slot: Slot | None) -> str:
-    return "\n\n".join(extracted(content_shape(page), slot))
+def main_text(page: str, node: Wrapper | None) -> str:
+    return "\n\n".join(extracted(content_shape(page), node))
 
 
-def main_texts(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per page: page_id, url, text."""
-    host = F.lower(F.coalesce(F.regexp_extract(F.col("url"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    pages = df.select(df[id_col].cast("bigint").alias("page_id"), df[url_col].cast("string").alias("url"), df[html_col].cast("string").alias("html")).withColumn("host", host)
-    first = Window.partitionBy("host").orderBy("order", "page_id")
-    some = pages.where("html is not null").select("host", "page_id", "html", F.xxhash64("page_id", "url").alias("order")).withColumn("r", F.row_number().over(first)).where(F.col("r") <= PAGES)
+class Unfolded(dict):
+    """Wrappers by their bytes and constants, remembered up to a bound."""
 
-    def induce(group):
+    def __missing__(self, key):
+        data, constants = key
+        if len(self) > 1000:
+            self.clear()
+        found = self[key] = with_constants(folded([unpacked(data)]), constants) if data else None
+        return found
+
+
+def read_trees(pages: DataFrame) -> DataFrame:
+    """page_id, url, host; the hash of all texts, the skeleton and the tree of a page (null for none)."""
+
+    def read(batches):
+        for batch in slices(batches):
+            columns = [[], [], []]
+            for page in batch.column(3).to_pylist():
+                tree = None if page is None else content_shape(page)
+                found = (None, None, None) if tree is None else (hashed("\n\n".join(extracted(tree, None))), packed(skeleton(tree)), packed(tree))
+                for column, value in zip(columns, found):
+                    column.append(value)
+            article, bones, tree = (pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary())))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], article, bones, tree], names=["page_id", "url", "host", "article", "skeleton", "tree"])
+
+    return arrow_map(pages.select("page_id", "url", "host", "html"), read, "page_id bigint, url string, host string, article bigint, skeleton binary, tree binary")
+
+
+def wrappers_of(trees: DataFrame) -> DataFrame:
+    """host, wrapper: one wrapper for all pages of a host."""
+    bones = trees.where("skeleton is not null").groupBy("host", "skeleton").agg(F.count_distinct("article").alias("n"))
+    bones = saved(bones.withColumn("id", F.xxhash64("skeleton")))
+
+    def list_paths(batches):
+        for batch in slices(batches):
+            found = [sorted(paths(unpacked(b))) for b in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.int64()))], names=["host", "id", "n", "paths"])
+
+    on = arrow_map(bones.select("host", "id", "n", "skeleton"), list_paths, "host string, id bigint, n bigint, paths array<bigint>")
+    on = on.select("host", "id", "n", F.explode("paths").alias("path"))
+    often = on.groupBy("host", "path").agg(F.sum("n").alias("pages")).where(F.col("pages") >= MIN_PAGES).drop("pages")
+    kept = on.join(often, ["host", "path"]).groupBy("host", "id").agg(F.collect_set("path").alias("kept"))
+
+    def prune(batches):
+        for batch in slices(batches):
+            cut = [packed(pruned(unpacked(b), set(k or ()))) for b, k in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.binary())], names=["host", "wrapper"])
+
+    def fold(group):
         import pandas as pd
 
-        return pd.DataFrame({"wrapper_host": [group["host"].iloc[0]], "wrapper": [induced(group.sort_values("r")["html"].tolist())]})
+        wrapper = folded([unpacked(b) for b in sorted(group["wrapper"])])
+        return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [packed(wrapper.tree())]})
+
+    joined = bones.join(kept, ["host", "id"], "left").select("host", "skeleton", "kept")
+    now = saved(arrow_map(joined, prune, "host string, wrapper binary").distinct())
+    while True:
+        sizes = now.groupBy("host").agg(F.count("*").alias("n"))
+        most = sizes.agg(F.max("n")).first()[0] or 0
+        groups = F.pmod(F.xxhash64("wrapper"), F.ceil(F.col("n") / FOLDED)) if most > FOLDED else F.lit(0)
+        now = saved(now.join(sizes, "host").withColumn("part", groups).groupBy("host", "part").applyInPandas(lambda g: fold(g), "host string, wrapper binary"))
+        if most <= FOLDED:
+            return now
+
+
+def constants_of(trees: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """host, constants: the texts that stand in a node on nearly all pages that have the node."""
+
+    def place(batches):
+        known = Unfolded()
+        for batch in slices(batches):
+            host, article, node, text = [], [], [], []
+            for h, a, tree, wrapper in zip(*(c.to_pylist() for c in batch.columns)):
+                for number, t in placed(unpacked(tree), known[wrapper, ()], set()):
+                    host.append(h), article.append(a), node.append(number), text.append(t)
+            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(article, pa.int64()), pa.array(node, pa.int32()), pa.array(text, pa.int64())], names=["host", "article", "node", "constant"])
+
+    rows = arrow_map(trees.where("tree is not null").join(wrappers, "host").select("host", "article", "tree", "wrapper"), place, "host string, article bigint, node int, constant bigint")
+    counts = saved(rows.groupBy("host", "node", "constant").agg(F.count_distinct("article").alias("n")).where(F.col("n") >= MIN_PAGES * CONSTANT))
+    pages = counts.where("constant is null").where(F.col("n") >= MIN_PAGES).select("host", "node", F.col("n").alias("pages"))
+    found = counts.where("constant is not null").join(pages, ["host", "node"]).where(F.col("n") >= CONSTANT * F.col("pages"))
+    return found.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("node", "constant"))).alias("constants"))
+
 
-    wrappers = saved(some.select("host", "r", "html").groupBy("host").applyInPandas(induce, "wrapper_host string, wrapper binary"))
-    joined = pages.join(wrappers, F.col("host") == F.col("wrapper_host"), "left")
+def main_texts(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """One row per page: page_id, url, text."""
+    host = F.lower(F.coalesce(F.regexp_extract(F.col("url"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
+    pages = df.select(df[id_col].cast("bigint").alias("page_id"), df[url_col].cast("string").alias("url"), df[html_col].cast("string").alias("html")).withColumn("host", host)
+    trees = saved(read_trees(pages))
+    wrappers = wrappers_of(trees)
+    known = saved(wrappers.join(constants_of(trees, wrappers), "host"))
+    joined = trees.join(known, "host", "left")
 
     def extract(batches):
-        known: dict[bytes | None, Slot | None] = {}
+        known = Unfolded()
         for batch in slices(batches):
             out = []
-            for page, wrapper in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if wrapper not in known:
-                    if len(known) > 1000:
-                        known.clear()
-                    found = pickle.loads(zlib.decompress(wrapper)) if wrapper else None
-                    known[wrapper] = Slot((), found) if found else None
-                out.append(main_text(page or "", known[wrapper]))
+            for tree, wrapper, constants in zip(*(c.to_pylist() for c in batch.columns[2:])):
+                on = known[wrapper, tuple((c["node"], c["constant"]) for c in constants or ())]
+                out.append("" if tree is None else "\n\n".join(extracted(unpacked(tree), on)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
-    return arrow_map(joined.select("page_id", "url", "html", "wrapper"), extract, "page_id bigint, url string, text string")
+    return arrow_map(joined.select("page_id", "url", "tree", "wrapper", "constants"), extract, "page_id bigint, url string, text string")
