@@ -489,3 +489,13 @@ def test_near_duplicates_broadcast_no_table(spark, monkeypatch):
     out = neardup.near_duplicates(spark.createDataFrame(ROWS, "doc_id bigint, text string"))
     plans.append(out._jdf.queryExecution().executedPlan().toString())
     assert len(plans) > 8 and not any("Broadcast" in p for p in plans)
+
+
+def test_entries_are_found_together_across_generations():
+    from vitalens.llm import bpe
+
+    cache = bpe.Recent(3)
+    for k in "abcdefg":
+        cache.put(k, k.upper())
+    assert cache.known({"d", "e", "f", "g", "z"}) == {"d": "D", "e": "E", "f": "F", "g": "G"}
+    assert len(cache) <= 3 and "z" not in cache

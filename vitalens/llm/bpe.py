@@ -31,6 +31,15 @@ class Recent(dict):
         self[key] = value
         return value
 
+    def known(self, keys: set) -> dict:
+        """The entries of those keys that have one."""
+        here = keys & self.keys()
+        out = dict(zip(here, map(self.__getitem__, here)))
+        old = self.old  # putting an entry may begin a new generation
+        for key in (keys - here) & old.keys():
+            out[key] = self.put(key, old[key])
+        return out
+
     def find(self, key):
         value = self.get(key)
         if value is None and (value := self.old.get(key)) is not None:

@@ -129,14 +129,15 @@ class PrefixCounter:
         """The differences of texts without special strings."""
         split = [self.chunks(t) for t in texts]
         found = set().union(*split)
-        known = {c: x for c in found if (x := self.known.find(c)) is not None}
+        known = self.known.known(found)
         fresh = found.difference(known)
         # A chunk that begins or ends in more white space belongs together with its neighbours.
         split = [x if loose.isdisjoint(x) else self.find(t) for t, x in zip(texts, split)] if (loose := {c for c in fresh if not tight(c)}) else split
         fresh = set().union(*split).difference(known) if loose else fresh
         units = {c: self.find(c) for c in fresh}
-        steps = {u: x for us in units.values() for u in us if (x := self.parts.find(u)) is not None}
-        for u, x in self.learn(list({u for us in units.values() for u in us if u not in steps})).items():
+        wanted = set().union(*units.values())
+        steps = self.parts.known(wanted)
+        for u, x in self.learn(list(wanted.difference(steps))).items():
             steps[u] = self.parts.put(u, x) if len(u) <= UNIT_CHARS else x
         for c, us in units.items():
             x = b"".join(map(steps.__getitem__, us))
