@@ -84,3 +84,27 @@ def test_streamed_uploads_equal_batch(spark, docs_of, tmp_path):
 def test_catalogue_ids_are_unique():
     ids = [r.rule_id for c in (ru.document_catalogue(), ru.keyword_catalogue()) for r in c.rules]
     assert len(ids) == len(set(ids)) == 66
+
+
+def test_what_a_query_does_not_read_is_not_evaluated(spark, docs_of):
+    from vitalens.operators import facts as fx
+    from vitalens.operators import features as ft
+
+    docs = docs_of(STRONG_CV, WEAK_CV)
+    optimized = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    name = optimized(fx.contacts_table(docs).select("doc_id", "name"))
+    assert "github" not in name and "passport" not in name
+    phrases = optimized(ft.profile(docs, TODAY).select("doc_id", "fillers", "cliches", "pronouns"))
+    assert "professional summary" not in phrases and "thousand" not in phrases
+    opener = optimized(ft.profile(docs, TODAY).select("doc_id", "top_opener.*"))
+    assert "thousand" not in opener and "tasked with" not in opener
+    assert "regexp_extract_all" not in optimized(ft.profile(docs, TODAY).select("layout.word_count"))
+
+
+def test_impact_holds_what_its_columns_hold(docs_of):
+    from vitalens.operators import features as ft
+
+    for r in ft.profile(docs_of(STRONG_CV, WEAK_CV, ""), TODAY).collect():
+        assert (r.impact.top_opener, r.impact.fillers, r.impact.cliches, r.impact.pronouns) == (r.top_opener, r.fillers, r.cliches, r.pronouns)
+        assert tuple(r.impact.__fields__) == ft.IMPACT and r.impact.bullets == len(r.judged)

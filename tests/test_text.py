@@ -141,3 +141,12 @@ def test_ingest_reads_contents_in_one_scan(spark, tmp_path):
     assert len(scans) == 2 and len(with_content) == 1
     assert "LessThanOrEqual(length,5242880)" in with_content[0]
     assert plan.count("sha2(") <= 3 and "Exchange" not in plan
+
+
+def test_word_counts_equal_the_matches_of_a_plain_pattern(spark):
+    import re
+
+    texts = ["", " ", "one", "one two", "-- a-b' 'c --d-- ", "x", "x x", "é ñandú _ 12\n\n't", "a\U0001F600b -", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("text", tx.word_count(F.col("text")).alias("n")).collect()
+    for r in rows:
+        assert r.n == (None if r.text is None else len(re.findall(r"\w[\w'-]*", r.text)))
