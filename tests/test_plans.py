@@ -108,3 +108,23 @@ def test_impact_holds_what_its_columns_hold(docs_of):
     for r in ft.profile(docs_of(STRONG_CV, WEAK_CV, ""), TODAY).collect():
         assert (r.impact.top_opener, r.impact.fillers, r.impact.cliches, r.impact.pronouns) == (r.top_opener, r.fillers, r.cliches, r.pronouns)
         assert tuple(r.impact.__fields__) == ft.IMPACT and r.impact.bullets == len(r.judged)
+
+
+def test_documents_are_read_once_for_all_career_documents(spark):
+    """Letters are taken of a document, not again of each customer that shares it, and texts are joined last."""
+    plan = tb.cv_docs(spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joins = [i for i, line in enumerate(plan) if "Join " in line]
+    letters = [i for i, line in enumerate(plan) if "regexp_replace(text" in line]
+    assert len(letters) == 1 and joins[0] < letters[0] and "[^A-Za-z]+" in plan[letters[0]]
+    indent = lambda i: len(plan[i]) - len(plan[i].lstrip(" :"))
+    assert indent(joins[0]) < indent(letters[0]) and "doc_key" in plan[joins[0]]
+
+
+def test_dates_are_tried_at_digits_and_months_only():
+    import re
+
+    from vitalens import lexicon as lx
+    from vitalens.operators import facts as fx
+
+    start = re.search(r"\(\?=\[([^\]]*)\]\)", fx.DATE_RANGE).group(1)
+    assert all(re.match(f"[{start}]", x) for x in [*lx.MONTHS, *"0123456789"]) and not re.match(f"[{start}]", "b")

@@ -150,3 +150,12 @@ def test_word_counts_equal_the_matches_of_a_plain_pattern(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("text", tx.word_count(F.col("text")).alias("n")).collect()
     for r in rows:
         assert r.n == (None if r.text is None else len(re.findall(r"\w[\w'-]*", r.text)))
+
+
+def test_strip_takes_every_space_in_any_order(spark):
+    texts = ["", " ", "a", "a ", "a  ", "a  ", "a  ", "a \n   　  ", "  a b \t", "　", "​ ", "é  ", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for r in rows.select("text", tx.ustrip(F.col("text")).alias("both"), tx.rstrip(F.col("text")).alias("right")).collect():
+        assert (r.both, r.right) == ((None, None) if r.text is None else (r.text.strip(tx.SPACES), r.text.rstrip(tx.SPACES)))
+    # Only another space than U+0020 at the end asks for the slow trim.
+    assert "endswith" in str(tx.rstrip(F.col("text"))).lower()
