@@ -499,3 +499,25 @@ def test_entries_are_found_together_across_generations():
         cache.put(k, k.upper())
     assert cache.known({"d", "e", "f", "g", "z"}) == {"d": "D", "e": "E", "f": "F", "g": "G"}
     assert len(cache) <= 3 and "z" not in cache
+
+
+def test_forward_pass_tries_no_token_that_cannot_end_there():
+    from vitalens.llm import bpe
+
+    forward = bpe.Forward(["a", "b", "c", "ab", "abc", "cabc"], lambda a, b: {"ab": 0, "abc": 1, "cabc": 2}.get(a + b))
+    assert forward.reach["abc"] == 4 and "bca" not in forward.reach
+    for word in map("".join, itertools.chain.from_iterable(itertools.product("abc", repeat=n) for n in range(1, 7))):
+        *_, (_, last, counts) = forward.walk([word])
+        tokens, _ = bpe.merge([*word], forward.rank)
+        assert counts[-1] == len(tokens) and last[-1] == tokens[-1]
+    for a, b, n in [("", "x", 0), ("ab", "abc", 2), ("abd", "abc", 2), ("abc", "ab", 2), ("x", "y", 0)]:
+        assert bpe.common_start(a, b) == n
+
+
+def test_known_words_are_looked_up_by_set_operations(monkeypatch):
+    from vitalens.llm import bpe
+
+    model = pieces.Pieces(queries.PIECE_BPE)
+    first = [x.tolist() for x in model.encode(["one two three", "two"])]
+    monkeypatch.setattr(bpe.Recent, "find", lambda *_: pytest.fail("looked up one by one"))
+    assert [x.tolist() for x in model.encode(["one two three", "two"])] == first

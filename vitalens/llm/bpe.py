@@ -10,7 +10,6 @@ A forward pass over positions finds it for every prefix of a word.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from os.path import commonprefix
 
 PAIR_LIMIT = 500_000
 NEVER = float("inf")
@@ -66,14 +65,26 @@ def merge(symbols: list[str], rank: Rank) -> tuple[list[str], list[tuple[str, fl
     return symbols, joins
 
 
+def common_start(a: str, b: str) -> int:
+    """The number of characters that two words begin with alike."""
+    if b.startswith(a):
+        return len(a)
+    n = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
 class Forward:
     """The forward pass over words for one vocabulary and its merge ranks."""
 
     def __init__(self, vocab: Iterable[str], rank: Rank):
         self.vocab, self.rank = frozenset(vocab), rank
-        self.reach: dict[str, int] = {}  # the longest token that ends in a character
+        self.reach: dict[str, int] = {}  # the longest token that ends in three characters
         for t in self.vocab:
-            self.reach[t[-1]] = max(self.reach.get(t[-1], 1), len(t))
+            self.reach[t[-3:]] = max(self.reach.get(t[-3:], 2), len(t))
         self.edges: dict[str, tuple] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
@@ -124,36 +135,37 @@ class Forward:
         vocab, pairs, reach = self.vocab, self.pairs, self.reach.get
         if len(pairs) > PAIR_LIMIT:
             pairs.clear()
+        known, add, count = pairs.get, last.append, counts.append
         for i in range(len(last), len(word) + 1):
             # The likeliest token goes first; only one is stable, so the order does not matter.
             first = i - 1 - len(last[-1])
             token = word[first:i]
             if i > 1 and token in vocab:
                 if not first:
-                    last.append(token)
-                    counts.append(1)
+                    add(token)
+                    count(1)
                     continue
                 pair = (last[first], token)
-                ok = pairs.get(pair)
+                ok = known(pair)
                 if ok is None:
                     ok = pairs[pair] = self.stable(*pair)
                 if ok:
-                    last.append(token)
-                    counts.append(counts[first] + 1)
+                    add(token)
+                    count(counts[first] + 1)
                     continue
-            for start in range(i - 1, max(0, i - reach(word[i - 1], 1)) - 1, -1):
+            for start in range(i - 1, max(0, i - reach(word[max(0, i - 3) : i], 2)) - 1, -1):
                 token = word[start:i]
                 if start < i - 1 and token not in vocab:
                     continue
                 if start:
                     pair = (last[start], token)
-                    ok = pairs.get(pair)
+                    ok = known(pair)
                     if ok is None:
                         ok = pairs[pair] = self.stable(*pair)
                     if not ok:
                         continue
-                last.append(token)
-                counts.append(counts[start] + 1)
+                add(token)
+                count(counts[start] + 1)
                 break
             else:
                 raise ValueError(f"no stable token ends at {i} of {word!r}")
@@ -166,7 +178,7 @@ class Forward:
         """
         before, last, counts = "", [""], [0]
         for word in sorted(set(words)):
-            shared = len(commonprefix((before, word)))
+            shared = common_start(before, word)
             del last[shared + 1 :], counts[shared + 1 :]
             self.extend(word, last, counts)
             yield word, last, counts

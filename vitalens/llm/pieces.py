@@ -78,8 +78,8 @@ class Pieces:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.words(t) for t in texts]
         found = set().union(*split)
-        known = {w: x for w in found if (x := self.known.find(w)) is not None}
-        for w, x in self.learn([w for w in found if w not in known]).items():
+        known = self.known.known(found)
+        for w, x in self.learn(list(found.difference(known))).items():
             known[w] = self.known.put(w, x) if len(w) <= WORD_CHARS else x
         return [np.frombuffer(b"".join(map(known.__getitem__, words)), "<i4") for words in split]
 
