@@ -127,3 +127,32 @@ def test_dates_are_tried_at_digits_and_months_only():
 
     start = re.search(r"\(\?=\[([^\]]*)\]\)", fx.DATE_RANGE).group(1)
     assert all(re.match(f"[{start}]", x) for x in [*lx.MONTHS, *"0123456789"]) and not re.match(f"[{start}]", "b")
+
+
+def test_snapshot_counts_each_word_once_and_no_words_of_bullets(spark, docs_of):
+    from vitalens.functions import text as tx
+    from vitalens.operators import facts as fx
+    from vitalens.operators import features as ft
+
+    docs = docs_of(STRONG_CV, WEAK_CV, "", "a b's  c-d\n\nSKILLS\n\nx\n\n \nEDUCATION:\ny _z")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    plan = corpus.review_documents(docs, TODAY).select("snapshot")._jdf.queryExecution().optimizedPlan().toString()
+    assert fx.FIRST_WORD not in plan and "regexp_replace(concat(text" not in plan
+    found = ft.profile(docs, TODAY).withColumn("words", tx.word_count(F.col("text")))
+    for r in found.select("words", "layout", "sized", "bullets", "bullet_lines").collect():
+        assert r.layout == r.sized and r.sized.word_count == r.words and len(r.bullets) == len(r.bullet_lines)
+
+
+def test_headings_and_dates_make_no_arrays_and_no_failing_casts(spark, docs_of):
+    from vitalens.operators import facts as fx
+    from vitalens.operators import sections as sx
+
+    optimized = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    docs = docs_of("EXPERIENCE\nDev | Sept. 1999 - Mar 2004\nDev | 03/2004 to 13/2005\nDev | 2006 - Present\nONE TWO THREE FOUR FIVE\nONE TWO THREE FOUR FIVE SIX")
+    assert "regexp_extract_all" not in optimized(sx.dominant_styles(docs))
+    ranges = fx.date_ranges_table(docs)
+    assert "try_to_number" not in optimized(ranges) and "try_cast" not in optimized(ranges)
+    got = [tuple(r)[-5:] for r in ranges.orderBy("range_no").collect()]
+    assert got == [(1999, 9, 2004, 3, False), (2004, 3, 2005, None, False), (2006, None, None, None, True)]
+    styles = {r.heading: r.style for r in sx.match_headings(docs).collect()}
+    assert styles["ONE TWO THREE FOUR FIVE"] == "caps" and "ONE TWO THREE FOUR FIVE SIX" not in styles

@@ -189,9 +189,14 @@ def with_contact(cut: DataFrame, add: Add = DataFrame.withColumns) -> DataFrame:
 
 def bullets(text: Column, secs: Column) -> Column:
     """Array of (line_no, section, body, words, opener) for bullet lines below headings."""
+    return described(bullet_lines(text, secs))
+
+
+def bullet_lines(text: Column, secs: Column) -> Column:
+    """Array of (line_no, section, body) for bullet lines below headings."""
 
     def scan(v: Column) -> Column:
-        raw = F.flatten(
+        return F.flatten(
             F.transform(
                 v["secs"],
                 lambda s: F.filter(
@@ -210,20 +215,24 @@ def bullets(text: Column, secs: Column) -> Column:
                 ),
             )
         )
-        return F.transform(
-            raw,
-            lambda b: F.struct(
-                b["line_no"].alias("line_no"),
-                b["section"].alias("section"),
-                b["body"].alias("body"),
-                tx.word_count(b["body"]).alias("words"),
-                F.lower(F.regexp_extract(b["body"], FIRST_WORD, 0)).alias("opener"),
-            ),
-        )
 
     return let_struct(scan, lines=tx.lines_of(text), secs=secs)
 
 
+def described(lines: Column) -> Column:
+    """Bullet lines with their number of words and first word."""
+    return F.transform(
+        lines,
+        lambda b: F.struct(
+            b["line_no"].alias("line_no"),
+            b["section"].alias("section"),
+            b["body"].alias("body"),
+            tx.word_count(b["body"]).alias("words"),
+            F.lower(F.regexp_extract(b["body"], FIRST_WORD, 0)).alias("opener"),
+        ),
+    )
+
+
 def judged_bullets(all_bullets: Column) -> Column:
     """Work-section bullets when they are at least max(4, 40 %) of all, else every bullet."""
     return let_struct(
@@ -240,17 +249,22 @@ def judged_bullets(all_bullets: Column) -> Column:
 
 def _month_number(token: Column) -> Column:
     names = F.create_map(*[F.lit(x) for kv in lx.MONTHS.items() for x in kv])
-    named = F.try_element_at(
-        names, F.lower(F.regexp_extract(token, rf"(?iU)^({_MONTH_NAMES})\.?{WS}", 1))
+    named = let(
+        F.regexp_extract(token, rf"(?iU)^({_MONTH_NAMES})\.?{WS}", 1),
+        lambda m: F.when(m != "", F.try_element_at(names, F.lower(m))),
     )
-    numeric = F.try_to_number(F.regexp_extract(token, r"^([0-9]{1,2})[/.-]", 1), F.lit("99")).cast(
-        "int"
+    numeric = let(
+        F.regexp_extract(token, r"^([0-9]{1,2})[/.-]", 1), lambda n: F.when(n != "", n.cast("int"))
     )
-    return F.coalesce(named, F.when(numeric.between(1, 12), numeric))
+    return F.when(
+        token.rlike("^[0-9]"), let(numeric, lambda n: F.when(n.between(1, 12), n))
+    ).otherwise(named)
 
 
 def _year_number(token: Column) -> Column:
-    return F.regexp_extract(token, r"((?:19|20)[0-9]{2})$", 1).try_cast("int")
+    # A cast that fails costs an error with its stack, so nothing else than digits is cast.
+    year = F.regexp_extract(token, r"((?:19|20)[0-9]{2})$", 1)
+    return let(year, lambda y: F.when(y != "", y.cast("int")))
 
 
 def date_ranges(text: Column, secs: Column) -> Column:
@@ -309,9 +323,14 @@ def work_ranges(ranges: Column) -> Column:
 # --- long tables ------------------------------------------------------------------------
 
 
+@built_once
+def doc_bullet_lines() -> Column:
+    return bullet_lines(F.col("text"), F.col("cuts"))
+
+
 @built_once
 def doc_bullets() -> Column:
-    return bullets(F.col("text"), F.col("cuts"))
+    return described(F.col("bullet_lines"))
 
 
 @built_once
@@ -320,14 +339,15 @@ def doc_ranges() -> Column:
 
 
 def parse(docs: DataFrame, add: Add = DataFrame.withColumns) -> DataFrame:
-    """Documents with ``flat`` text and nested ``secs``, ``contact``, ``bullets`` and ``ranges``.
+    """Documents with ``flat`` text and nested ``secs``, ``contact``, ``bullet_lines``, ``bullets`` and ``ranges``.
 
     Each is a narrow expression; what a caller does not select is pruned.
     """
     cut = add(docs, {"cuts": sx.doc_cuts()})
     cut = with_contact(add(cut, {"secs": sx.counted(F.col("cuts"))}), add)
     contact = F.struct(*[F.col(f"_{c}").alias(c) for c in CONTACT])
-    out = add(cut, {"contact": contact, "bullets": doc_bullets(), "ranges": doc_ranges()})
+    out = add(cut, {"contact": contact, "bullet_lines": doc_bullet_lines(), "ranges": doc_ranges()})
+    out = add(out, {"bullets": doc_bullets()})
     return out.drop("cuts", "_header", "_scope", *[f"_{c}" for c in CONTACT])
 
 

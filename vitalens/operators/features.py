@@ -333,8 +333,8 @@ LAYOUT_DEFAULTS = {
 }
 
 
-def layout_of(docs: DataFrame) -> Column:
-    """Layout struct with per-field defaults; counts missing from it are taken from the text."""
+def layout_of(docs: DataFrame, words: Column | None = None) -> Column:
+    """Layout struct with per-field defaults; counts missing from it are taken from the text, or from its given words."""
     declared = (
         set(docs.schema["layout"].dataType.fieldNames()) if "layout" in docs.columns else set()
     )
@@ -345,7 +345,7 @@ def layout_of(docs: DataFrame) -> Column:
         return default.alias(name)
 
     return let(
-        tx.word_count(F.col("text")),
+        tx.word_count(F.col("text")) if words is None else words,
         lambda words: F.struct(
             field("word_count", words),
             field("page_count", tx.page_estimate(words)),
@@ -382,7 +382,9 @@ def _feature_columns(today: date) -> tuple[dict[str, Column], ...]:
 
 def profile(docs: DataFrame, today: date, add: Add = DataFrame.withColumns) -> DataFrame:
     """docs (doc_id, text[, layout]) with nested facts and features; no shuffle."""
-    out = fx.parse(add(docs, {"layout": layout_of(docs)}), add)
+    out = fx.parse(docs, add)
+    # Two columns: who reads the sections as well has no need to count the words of the text again.
+    out = add(out, {"layout": layout_of(docs), "sized": layout_of(docs, sx.total_words(F.col("secs")))})
     for columns in _feature_columns(today):
         out = add(out, columns)
     return out

@@ -20,6 +20,8 @@ MAX_HEADING_WORDS = 5
 MAX_HEADING_CHARS = 60
 # More words than a heading may have, by the places where normalise_heading would part them.
 WORDY = rf"(?sU)\A[^\p{{L}}\p{{N}}]*+[^{WS}&/]++(?:[{WS}&/]++[^{WS}&/]++){{{MAX_HEADING_WORDS - 1}}}[{WS}&/]++.*?[\p{{L}}\p{{N}}]"
+# More words than a heading may have, as runs without spaces.
+MANY_WORDS = rf"(?U)\A{WS}*+(?:{NOT_WS}++{WS}++){{{MAX_HEADING_WORDS}}}{NOT_WS}"
 
 _RANKED = lx.synonym_ranking()
 _ALTERNATIVES = "|".join(re.escape(p).replace(r"\ ", " ") for p, _ in _RANKED)
@@ -82,12 +84,12 @@ def heading_style(stripped: Column) -> Column:
         & (F.length(stripped) <= MAX_HEADING_CHARS)
         & ~is_bullet(stripped)
         & ~ends_sentence(stripped)
-        & (F.regexp_count(stripped, F.lit(rf"(?U){NOT_WS}+")) <= MAX_HEADING_WORDS)
+        & ~stripped.rlike(MANY_WORDS)
         & stripped.rlike(r"\p{L}")
         & ~stripped.rlike(rf"{YEAR}|[@|]")
     )
-    letters = F.regexp_count(stripped, F.lit(r"\p{L}"))
-    upper = F.regexp_count(stripped, F.lit(r"\p{Lu}"))
+    letters = F.length(F.regexp_replace(stripped, r"\P{L}++", ""))
+    upper = F.length(F.regexp_replace(stripped, r"\P{Lu}++", ""))
     return F.when(
         shaped,
         F.when(stripped.endswith(":"), F.lit("colon"))
@@ -210,6 +212,15 @@ def cuts(text: Column, unnamed_after: str = "nonblank") -> Column:
                 (b["line_no"] + 1).alias("body_line"),
             ),
         )
+
+        def body(s: Column) -> Column:
+            # The blank line before the next heading goes with its line break: trimming one reads the whole text.
+            last = F.get(v["lines"], s["end_line"] - 1) == ""
+            n = s["end_line"] - s["body_line"]
+            return tx.ustrip(
+                F.array_join(F.slice(v["lines"], s["body_line"] + 1, F.when(last & (n > 0), n - 1).otherwise(n)), "\n")
+            )
+
         return F.transform(
             F.concat(header, named),
             lambda s, i: F.struct(
@@ -218,13 +229,10 @@ def cuts(text: Column, unnamed_after: str = "nonblank") -> Column:
                 s["heading"].alias("heading"),
                 s["start_line"].alias("start_line"),
                 s["end_line"].alias("end_line"),
-                tx.ustrip(
-                    F.array_join(
-                        F.slice(v["lines"], s["body_line"] + 1, s["end_line"] - s["body_line"]), "\n"
-                    )
-                ).alias("text"),
+                body(s).alias("text"),
             ),
         )
+
     return let(
         tx.lines_of(text),
         lambda ls: let_struct(
@@ -271,6 +279,11 @@ def has_section(secs: Column, name: str) -> Column:
     return F.exists(secs, lambda s: (s["name"] == name) & (s["word_count"] > 0))
 
 
+def total_words(secs: Column) -> Column:
+    """Words of the whole text, from its counted sections and their headings: no word spans two lines."""
+    return F.aggregate(secs, F.lit(0), lambda n, s: n + s["word_count"] + tx.word_count(s["heading"]))
+
+
 def recognised_names(secs: Column) -> Column:
     """Names of recognised sections in document order, repeats kept."""
     return F.transform(

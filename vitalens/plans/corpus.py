@@ -32,15 +32,15 @@ def snapshot() -> Column:
                     s["word_count"].alias("word_count"),
                 ),
             ).alias("sections"),
-            F.size(v["bullets"]).alias("bullet_count"),
+            F.size(v["bullet_lines"]).alias("bullet_count"),
             F.size(v["ranges"]).alias("range_count"),
             F.size(v["timeline"]["gaps"]).alias("gap_count"),
             v["timeline"]["months"].alias("experience_months"),
             F.bround(v["timeline"]["months"] / 12, 1).alias("experience_years"),
-            v["layout"]["word_count"].alias("word_count"),
-            v["layout"]["page_count"].alias("page_count"),
+            v["sized"]["word_count"].alias("word_count"),
+            v["sized"]["page_count"].alias("page_count"),
         ),
-        **{n: F.col(n) for n in ("secs", "structure", "timeline", "layout", "bullets", "ranges")},
+        **{n: F.col(n) for n in ("secs", "structure", "timeline", "sized", "bullet_lines", "ranges")},
     )
 
 
