@@ -71,3 +71,13 @@ def docs_of(spark):
         )
 
     return make
+
+
+@pytest.fixture(scope="module", autouse=True)
+def nothing_cached():
+    """What one file of tests caches does not stand in the plans that another reads."""
+    yield
+    from pyspark.sql import SparkSession
+
+    if (session := SparkSession.getActiveSession()) is not None:
+        session.catalog.clearCache()
