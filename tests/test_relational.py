@@ -72,6 +72,26 @@ def test_term_limit_keeps_the_best(spark):
     assert len(got) == 28 and got == sorted(got)
 
 
+def test_no_table_of_postings_goes_through_the_driver(spark, tmp_path):
+    """Files of many postings can be small enough for Spark to broadcast what stands for far more in memory."""
+    posts = spark.createDataFrame(
+        [(1, "data platform\ndata platform\nplatform tooling"), (None, "data platform\ndata platform"), (2, " ")], "posting_id int, text string"
+    )
+    posts.write.parquet(str(tmp_path / "posts"))
+    posts = spark.read.parquet(str(tmp_path / "posts"))
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan_of(mt.posting_terms(posts))
+    docs = spark.createDataFrame([(1, "data platform")], "doc_id int, text string")
+    pairs = spark.createDataFrame([(1, 1), (1, 2), (1, None)], "doc_id int, posting_id int")
+    matched = mt.match_report(docs, posts, pairs)
+    # Only the forms are broadcast, after they were counted.
+    assert [x.split("BroadcastHashJoin")[1][:6] for x in plan_of(matched).split("\n") if "BroadcastHashJoin" in x] == [" [form"]
+    got = {r.posting_id: (r.has_posting, r.matched_count) for r in matched.collect()}
+    assert got == {1: (True, 2), 2: (False, None), None: (False, None)}
+    keys = {(r.posting_id, r.key) for r in mt.posting_terms(posts).collect()}
+    assert (1, "data") not in keys and (1, "platform") in keys and (None, "data platform") in keys and (None, "data") in keys
+
+
 def test_salted_join_equals_join(spark):
     many = spark.range(1000).select(
         "id", F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id") % 50).alias("k")
