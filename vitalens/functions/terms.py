@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from vitalens import lexicon as lx
 from vitalens.functions.core import HSPACE, WB_LEFT, WB_RIGHT, let
 
-# Terms never run across these: "SQL, Kafka" is two skills.
+# Terms never run across these: "SQL, Kafka" is two skills.  Other places are passed over by their first character.
 CHUNK_BREAK = (
-    rf"(?U)[,;:|/()\[\]{{}}]|\.{HSPACE}|{WB_LEFT}(?:and|or|with|in){WB_RIGHT}"
+    rf"(?U)(?=[,;:|/()\[\]{{}}.aowi])(?:[,;:|/()\[\]{{}}]|\.{HSPACE}|{WB_LEFT}(?:and|or|with|in){WB_RIGHT})"
 )
 TOKEN = r"[A-Za-z][A-Za-z0-9+#./-]*"
 BULLET_LINE = r"(?U)^\s*[•\-*]"
