@@ -156,3 +156,26 @@ def test_headings_and_dates_make_no_arrays_and_no_failing_casts(spark, docs_of):
     assert got == [(1999, 9, 2004, 3, False), (2004, 3, 2005, None, False), (2006, None, None, None, True)]
     styles = {r.heading: r.style for r in sx.match_headings(docs).collect()}
     assert styles["ONE TWO THREE FOUR FIVE"] == "caps" and "ONE TWO THREE FOUR FIVE SIX" not in styles
+
+
+def test_rules_of_one_category_read_what_they_need(spark, docs_of):
+    from vitalens.operators import features as ft
+
+    docs = docs_of(STRONG_CV, WEAK_CV, "", "x").union(spark.createDataFrame([(9, None)], "doc_id bigint, text string"))
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    optimized = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    own = ru.Rule("structure.own", "warning", 1, lambda v: v["impact"]["bullets"] > 0)
+    catalogue = ru.document_catalogue().register(own)
+    found = ru.document_findings(ft.profile(docs.filter("text IS NOT NULL"), TODAY), catalogue)
+    contact, structure = optimized(found.select("contact_findings")), optimized(ru.document_findings(ft.profile(docs, TODAY)).select("structure_findings"))
+    assert "structure.complete" not in contact and "tasked with" not in contact and "thousand" not in contact
+    assert "contact.complete" not in structure and "thousand" not in structure
+    for r in found.collect():
+        held = [f for c in ("contact", "structure", "impact", "ats", "formatting") for f in r[f"{c}_findings"]]
+        key = lambda f: (f.rule_id, f.category, f.severity, f.penalty, tuple(f.evidence))
+        assert sorted(map(key, held)) == sorted(map(key, r.findings)) and not any(f.section for f in held)
+        assert ("structure.own" in {f.rule_id for f in r.structure_findings}) == (r.impact.bullets > 0)
+    reviewed = corpus.review_documents(docs, TODAY)
+    assert "tasked with" not in optimized(reviewed.select("ats_findings", "structure_findings"))
+    assert [r.ats_findings for r in reviewed.filter("doc_id = 9").collect()] == [None]
+    assert not [c for c in corpus.score_corpus(docs, TODAY).columns if c.endswith("_findings")]
